@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, secrets, urls, warc, winnow
+from . import mixing, neardup, pieces, quality, secrets, urls, warc, winnow
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
     return records.withColumnRenamed("key", "page_id").drop("header")
@@ -57,6 +61,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bbit_minhash": op1_bbit_minhash,
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_soft_mixing": op3_soft_mixing,
     "op4_quality_machine": op4_quality_machine,
