@@ -251,10 +251,10 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = K) -> Dat
 
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     by_block = index.withColumn("block", every)
-    placed = queries.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    placed = placed.join(index.select("dim", "shard"), "dim")  # a query goes to every shard of its length
-    keys = ["dim", "shard", "block"]
-    return by_block.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(walk, "query_id long, vec_id long, score double")
+    placed = queries.select("id", "vector", F.size("vector").alias("d"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    # a query goes to every shard of its length
+    placed = placed.join(index.select(F.col("dim").alias("d"), F.col("shard").alias("s")), "d")
+    return by_block.groupBy("dim", "shard", "block").cogroup(placed.groupBy("d", "s", "b")).applyInPandas(walk, "query_id long, vec_id long, score double")
 
 
 def neighbours(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
