@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, mixing, neardup, pieces, quality, secrets, urls, warc, winnow
+from . import brown, hnsw, mixing, neardup, pieces, quality, secrets, urls, warc, winnow
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op7_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op9_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_vocabulary": op5_url_vocabulary,
     "op6_winnowing": op6_winnowing,
     "op7_assignment_secrets": op7_assignment_secrets,
+    "op8_brown_classes": op8_brown_classes,
     "op9_small_world": op9_small_world,
     "op10_pieces": op10_pieces,
 }
