@@ -26,6 +26,8 @@ from .common import cut, drop_cut, fold_case
 TRAIN_ROWS = 8_000
 SLOTS = 4096
 STEPS, REWRITE, TOLERANCE = 60, 15, 1e-4
+#: How far above the least covering size a covering mixture lies, so that rates of about 1 don't fall below it.
+COVER = 1.02
 #: Weights of the languages in the mixture of the production query.
 TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
@@ -76,12 +78,18 @@ def stepped(x: Column, moves: list[list[float]]) -> Column:
     return x
 
 
-def fit_rates(docs: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` (``key``, ``tokens``, ``p0``, ...) with ``rate``."""
+def fit_rates(docs: DataFrame, weights: list[float], cover: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs`` (``key``, ``tokens``, ``p0``, ...) with ``rate``.
+
+    The mixture has as many tokens as the documents; with ``cover``, as many as it takes for no domain to shed any.
+    """
     d = range(len(weights))
-    mass = docs.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in d for j in d)).first()
-    goal = [w * (mass["n"] or 0) for w in weights]
-    scale = [max(g, 1e-3 * (mass["n"] or 0), 1e-9) for g in goal]  # a target of no tokens has no relative error
+    mass = docs.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in d), *(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in d for j in d)).first()
+    whole = mass["n"] or 0
+    if cover:
+        whole = max((COVER * (mass[f"t{i}"] or 0) / w for i, w in enumerate(weights) if w > 0), default=whole)
+    goal = [w * whole for w in weights]
+    scale = [max(g, 1e-3 * whole, 1e-9) for g in goal]  # a target of no tokens has no relative error
     # In the metric where a document weighs its tokens, the curvature is the matrix sum_i tokens_i p_ia p_ib / (T_a T_b);
     # its largest row sum bounds the largest eigenvalue, so the step never overshoots.
     bound = max((sum((mass[f"m{i}_{j}"] or 0.0) / (scale[i] * scale[j]) for j in d) for i in d), default=0.0)
@@ -103,7 +111,7 @@ def fit_rates(docs: DataFrame, weights: list[float], steps: int = STEPS, toleran
     return state.withColumn("rate", F.when(F.col("tokens") > 0, stepped(F.col("rate"), moves)).otherwise(1.0))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text", cover: bool = False) -> DataFrame:
     """``key``, ``tokens``, ``posteriors map<string,double>``, ``rate``, ``copies`` of each document.
 
     ``copies`` rounds the rate up with the probability of its fraction, drawn from a hash of the key.
@@ -115,7 +123,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     model, prior = fit_classifier(docs, labelled, domains, key, text)
     model = cut(model, "classifier")
     state = cut(posteriors(docs, model, prior, key, text), "posteriors")
-    rated = fit_rates(state, [targets[d] / whole for d in domains])
+    rated = fit_rates(state, [targets[d] / whole for d in domains], cover)
     draw = F.pmod(F.xxhash64(F.lit("mixing"), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     shown = F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))))

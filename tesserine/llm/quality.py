@@ -25,7 +25,8 @@ from .common import slices
 
 TRAIN_ROWS = 12_000
 WORDS, FACTORS, BINS = 1 << 13, 8, 8
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.08, 1e-5
+#: Passes over the sample at least, and steps at least: a small sample is passed over more often.
+EPOCHS, UPDATES, BATCH, RATE, DECAY = 10, 1_200, 128, 0.1, 1e-5
 ACCEPT = 0.3
 REMEMBERED = 200_000
 UPPER, DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -104,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarr
     model.bias = math.log(rate / (1 - rate))
     coded = [model.encode(*r) for r in rows]
     square_w, square_v, square_b = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(coded)))):
         order = rng.permutation(len(coded))
         for start in range(0, len(order), BATCH):
             batch = order[start : start + BATCH]
@@ -166,7 +167,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             scores = [known.score(t or "", slots) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores, pa.float64())], names=[*part.schema.names[1:], "score"])
 
-    source = docs.select(F.col(text).cast("string").alias("__text"), F.col(key), *carry)
+    source = docs.select(F.col(text).cast("string").alias("__scored"), F.col(key), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     scored = source.mapInArrow(run, f"{schema}, score double")
     return scored.select(key, *carry, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
