@@ -9,6 +9,9 @@
    heads, between components still apart; (c) in every bucket that still holds more than one component, all nodes outside
    its largest component against all nodes of other components.  Links within a component add nothing, so no pair that
    could join two components is left out, and a bucket of one component of any size costs one comparison a node.
+   In (c) two nodes are compared only if they could be alike: by the shingles that are common among such nodes alone, or
+   because they share a rare one (held by at most ``RARE`` of these nodes) among the first of either, in order of rarity.
+   So the rim of a large family, whose texts differ by edits of their own, is told apart without comparing all its pairs.
 5. Components by large and small stars (``graph``), each round in the shared folder.
 
 A link of the least similarity is missed if no band agrees: with ``bands_for`` in fewer than 1 case in 10**8.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, slices
@@ -34,6 +37,8 @@ from .graph import components
 
 ROWS, BITS, MISS, MARGIN = 5, 4, 1e-8, 6.0
 REMEMBERED = 200_000
+#: Nodes of open buckets that share a shingle, for it to count as rare among them.
+RARE = 10
 #: Bits of the filter that picks the texts of candidates; it is as large at every size of the input.
 FILTER_BITS = 1 << 24
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -201,6 +206,26 @@ def chosen_texts(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFr
     return rows.where(wanted(slot)).select("id", "text")
 
 
+def shingle_rows(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``id, shingle``: the distinct shingles of the nodes ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part in slices(batches, 1, 1 << 20):
+            found = [shingles(t, words, k) for t in part.column(1).to_pylist()]
+            id = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(id, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["id", "shingle"])
+
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingle long")
+
+
+def rare_shingles(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``id, shingle, df`` of the shingles that at most ``RARE`` of the nodes ``ids`` have."""
+    rows = cut(shingle_rows(texts, ids, k), "shingles")
+    few = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "few")
+    return rows.join(few, "shingle").select("id", "shingle", "df")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id``, ``kept`` of each row of ``docs``.
 
@@ -215,11 +240,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     nodes = cut(signed.join(sets, ["id", "hi", "lo"], "left_semi").select("id", "n", "bands", "sig"), "nodes")
     rows = nodes.select("id", F.explode("bands").alias("band"))
 
-    # buckets of two nodes or more, and their heads
-    heads = cut(rows.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"), "heads")
-    members = cut(rows.join(heads, "band"), "members")
-    pairs = cut(members.where("id != head").select("id", "head").distinct(), "pairs")
-    about = nodes.select("id", "n", "sig")
+    # buckets of two nodes or more; the head of each is the node that meets most others, as the centre of a family does
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "all")
+    members = cut(rows.join(cut(sizes, "sizes"), "band"), "members")
+    met = members.join(members.groupBy("id").agg(F.sum("all").alias("met")), "id")
+    heads = cut(met.groupBy("band").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("head")), "heads")
+    pairs = cut(members.join(heads, "band").where("id != head").select("id", "head").distinct(), "pairs")
+    about = nodes.select("id", "n", "sig", "bands")
     judged = pairs.join(about, "id").join(about.select(F.col("id").alias("head"), F.col("n").alias("m"), F.col("sig").alias("other")), "head")
     judged = judged.where(close_sizes(F.col("n"), F.col("m"), percent)).select(F.col("id").alias("a"), F.col("head").alias("b"), estimate(F.col("sig"), F.col("other"), size).alias("like"))
     likely = cut(judged.where(F.col("like") >= least), "likely")
@@ -242,17 +269,34 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     counts = inside.groupBy("band", "c").agg(F.count(F.lit(1)).alias("rows"))
     open_ = counts.groupBy("band").agg(F.max_by("c", F.struct("rows", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("all"))
     open_ = cut(open_.where("parts > 1 AND all > 2").select("band", "main"), "open")
-    spread = cut(inside.join(open_, "band").join(about, "id"), "spread")
-    left = spread.where("c != main").select("band", F.col("id").alias("a"), F.col("c").alias("p"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = spread.select("band", F.col("id").alias("b"), F.col("c").alias("q"), F.col("n").alias("nb"), F.col("sig").alias("sb"), (F.col("c") == F.col("main")).alias("of_main"))
+    around = cut(inside.join(open_, "band"), "around")
+    rare = cut(rare_shingles(texts, around.select("id").distinct(), k), "rare")
+    single = rare.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    spread = around.join(about, "id").join(single, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    spread = cut(spread, "spread")
+    left = spread.where("c != main").select("band", F.col("id").alias("a"), F.col("c").alias("p"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
+    right = spread.select("band", F.col("id").alias("b"), F.col("c").alias("q"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"), (F.col("c") == F.col("main")).alias("of_main"))
     apart = (F.col("p") != F.col("q")) & (F.col("of_main") | (F.col("a") < F.col("b")))
-    near = apart & close_sizes(F.col("na"), F.col("nb"), percent) & (estimate(F.col("sa"), F.col("sb"), size) >= least)
-    more = left.join(right, (left["band"] == right["band"]) & near).select("a", "b").distinct()
+    most = F.least("ca", "cb")
+    near = apart & (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (estimate(F.col("sa"), F.col("sb"), size) >= least)
+    once = F.array_min(F.array_intersect("ba", "bb")) == left["band"]  # of the buckets that two nodes share, one counts
+    more = left.join(right, (left["band"] == right["band"]) & near & once).select("a", "b")
+
+    # what the bound above leaves out shares a rare shingle, and the first that two nodes share stands in both their prefixes
+    place = Window.partitionBy("id").orderBy("df", "shingle")
+    known = spread.select("id", "c", "n", "sig").distinct()
+    first = rare.withColumn("at", F.row_number().over(place)).join(known, "id")
+    first = cut(first.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), "first")
+    x = first.select("shingle", F.col("id").alias("a"), F.col("c").alias("p"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = first.select("shingle", F.col("id").alias("b"), F.col("c").alias("q"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    alike = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & close_sizes(F.col("na"), F.col("nb"), percent)
+    alike = alike & (estimate(F.col("sa"), F.col("sb"), size) >= least)
+    more = more.unionByName(x.join(y, (x["shingle"] == y["shingle"]) & alike).select("a", "b")).distinct()
     more = more.join(likely.select("a", "b"), ["a", "b"], "left_anti").join(likely.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     stars = joined(stars, verified(cut(more, "more"), texts, k, percent))
 
     named = cut(at(sets, "id", "component").select("hi", "lo", "component"), "named")
-    for old in (nodes, heads, members, pairs, likely, texts, best, links, inside, open_, spread):
+    for old in (nodes, heads, members, pairs, likely, texts, best, links, inside, open_, around, rare, first, spread):
         drop_cut(old)
     known = signed.select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
