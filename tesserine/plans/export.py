@@ -57,10 +57,11 @@ def sheets(docs: DataFrame, answers: DataFrame, sentences: DataFrame, key: str =
 def run_sheet(facts: DataFrame, answers: DataFrame) -> DataFrame:
     """``campo, valor``: provenance, and what the answers' times and attempts come to."""
     sums = answers.agg(F.avg("segundos").alias("mean"), F.sum("segundos").alias("total"), F.count_if(F.col("tentativas") > 1).alias("again"), F.count("segundos").alias("n")).where("n > 0")
+    line = lambda name, value: F.struct(F.lit(name).alias("campo"), value.alias("valor"))
     rows = sums.select(F.inline(F.array(
-        F.struct(F.lit("tempo_medio_por_dissertacao_s").alias("campo"), F.format_string("%.1f", "mean").alias("valor")),
-        F.struct(F.lit("tempo_total_de_geracao_s"), F.format_string("%.0f", "total")),
-        F.struct(F.lit("dissertacoes_que_precisaram_de_2a_tentativa"), F.col("again").cast("string")),
+        line("tempo_medio_por_dissertacao_s", F.format_string("%.1f", "mean")),
+        line("tempo_total_de_geracao_s", F.format_string("%.0f", "total")),
+        line("dissertacoes_que_precisaram_de_2a_tentativa", F.col("again").cast("string")),
     )))
     return facts.unionByName(rows)
 
