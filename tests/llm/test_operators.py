@@ -1,0 +1,424 @@
+"""The operators against plain versions, and the cases that break pipelines: nulls, empty and long texts, ties, repeats."""
+
+import hashlib
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tesserine.llm import brown, hnsw, mixing, neardup, pieces, quality, queries, secrets, urls, warc, winnow
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, letters=6):
+    return [rng.choice(string.ascii_lowercase[:letters]) + rng.choice(string.ascii_lowercase[:letters]) + str(rng.randint(0, 9)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Copies, near copies, null and empty texts, one long text, repeated rows, ids out of order, clashing extra columns."""
+    rng = random.Random(5)
+    base = [" ".join(words(rng, 60)) for _ in range(30)]
+    rows = [(i * 3, t) for i, t in enumerate(base)]
+    rows += [(200 + i, " ".join([*t.split()[:57], "x", "y", "z"])) for i, t in enumerate(base[:8])]
+    rows += [(300 + i, base[0]) for i in range(5)] + [(400, None), (401, ""), (402, "  \n"), (403, "One"), (404, "ONE"), (405, "one two"), (None, base[1])]
+    rows += [(500, " ".join(words(rng, 20_000)))] + [rows[3]] * 2
+    rng.shuffle(rows)
+    made = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else "de", "s", len(t or "")) for i, t in rows], DOCS)
+    return made.withColumns({c: F.lit(1) for c in ("key", "id", "hi", "spans", "score", "rate", "row", "kept")}).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def brute_components(rows, k, percent):
+    """Smallest ids of connected documents, by all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        sets.setdefault(i, []).append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = find(a), find(b)
+                top[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}, sets
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(docs, none, k, percent):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] is not None]
+    want, sets = brute_components(rows, k, percent)
+    got = neardup.link(docs, k=k, percent=percent).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r["doc_id"] is None:
+            assert (r["component_id"], r["kept"]) == (None, True)
+        else:
+            assert r["component_id"] == want[r["doc_id"]]
+            assert r["n_shingles"] in map(len, sets[r["doc_id"]])
+            assert r["kept"] == (r["component_id"] == r["doc_id"])
+    assert neardup.link(none, k=k, percent=percent).count() == 0
+
+
+def test_families(spark):
+    """Two families around centres that are not their smallest ids, and outsiders that share half a family's text."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    for _ in range(2):
+        centre = words(rng, 150, 20)
+        for edits in [0, *[1] * 15, *[2] * 15, *[4] * 10, *[6] * 6]:
+            t = list(centre)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = f"e{rng.randint(0, 40)}"
+            rows.append((n := n + 1, " ".join(t)))
+        rows += [(n := n + 1, " ".join(centre[:75] + words(rng, 75, 20))) for _ in range(10)]
+    ids = [r[0] for r in rows]
+    rng.shuffle(ids)
+    rows = [(i, t) for i, (_, t) in zip(ids, rows, strict=True)]
+    want, _ = brute_components(rows, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == want
+
+
+def test_estimate(spark):
+    rng = np.random.default_rng(1)
+    sign = neardup.Signer(neardup.bands_for(85))
+    a = rng.integers(0, 1 << 63, 1_000, np.uint64)
+    for share in (1.0, 0.9, 0.5, 0.0):
+        b = np.concatenate([a[: int(share * 1000)], rng.integers(0, 1 << 63, 1_000 - int(share * 1000), np.uint64)])
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        df = spark.createDataFrame([(sign(a)[1].tolist(), sign(b)[1].tolist())], "a array<long>, b array<long>")
+        assert df.select(neardup.estimate(F.col("a"), F.col("b"), sign.size)).first()[0] == pytest.approx(true, abs=0.12)
+    assert (1 - 0.85**neardup.ROWS) ** neardup.bands_for(85) < neardup.MISS
+
+
+def test_components_of_a_path_and_a_star(spark):
+    from tesserine.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    html = "<html lang='pt'><head><title>A &amp;\n b</title></head><body><script>x<y</script><p>Um &lt;dois</p><!-- no --><p>três</p></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.b/c", html), (2, None, None), (3, "http://é", ""), (3, "http://é", "")], "page_id long, url string, html string").withColumn("key", F.lit(9))
+    records = warc.derivatives(warc.responses_of_pages(pages))
+    rows = records.collect()
+    assert len(rows) == 8
+    text = {(r["key"], r["record_type"]): r for r in rows}
+    assert text[1, "conversion"]["content"] == "Um <dois\ntrês"
+    assert "title: A & b" not in text[1, "metadata"]["content"]
+    assert "title: A &amp; b\r\n" in text[1, "metadata"]["content"]
+    assert "source-header: HTTP/1.1 200 OK\r\nsource-header: Content-Type" in text[1, "metadata"]["content"]
+    data = b"".join(bytes(r["record"]) for r in warc.serialised(records).collect())
+    parsed = warc.parse(data)
+    assert len(parsed) == 8
+    ids = {r["record_id"]: r for r in rows}
+    for headers, content in parsed:
+        r = ids[headers["WARC-Record-ID"]]
+        assert content.decode() == r["content"]
+        assert headers["WARC-Refers-To"] == r["refers_to"]
+        assert headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(content).hexdigest()
+    assert len({r["refers_to"] for r in rows}) == 3
+    assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
+
+
+def test_mixing(spark, docs, none):
+    labelled = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("lang").alias("domain")).distinct()
+    targets = {"en": 0.7, "de": 0.3}
+    got = {r["doc_id"]: r for r in mixing.mix(docs, labelled, targets).collect()}
+    assert len(got) == docs.select("doc_id").distinct().count()
+    total = sum(r["tokens"] for r in got.values())
+    for d, share in targets.items():
+        assert sum(r["rate"] * r["tokens"] * r["posteriors"][d] for r in got.values()) == pytest.approx(share * total, rel=0.01)
+    assert min(r["rate"] for r in got.values()) >= 0
+    assert (got[401]["tokens"], got[401]["rate"]) == (0, 1.0)
+    counts = {}
+    for r in docs.collect():
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    assert {i: r["tokens"] for i, r in got.items()} == counts
+    covering = mixing.mix(docs, labelled, targets, cover=True).where("tokens > 0").agg(F.min("copies")).first()[0]
+    assert covering >= 0
+    assert mixing.mix(none, labelled, targets).count() == 0
+    assert mixing.mix(docs, labelled.limit(0), targets).count() == len(got)
+    with pytest.raises(ValueError, match="targets"):
+        mixing.mix(docs, labelled, {})
+
+
+def test_rates_reach_zero(spark):
+    state = spark.createDataFrame([(1, 100, 1.0, 0.0), (2, 100, 0.0, 1.0), (3, 100, 0.5, 0.5)], "key long, tokens long, p0 double, p1 double")
+    got = {r["key"]: r["rate"] for r in mixing.fit_rates(state, [1.0, 0.0], steps=200).collect()}
+    assert got[2] == pytest.approx(0, abs=1e-3)
+    assert got[1] > 2
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(0)
+    size = quality.WORDS + quality.STATS * quality.BINS
+    m = quality.Model(np.zeros((quality.STATS, quality.BINS - 1)), 0.3, rng.normal(size=size), rng.normal(size=(size, quality.FACTORS)))
+    at, x = rng.choice(size, 12, replace=False), rng.normal(size=12)
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(12) for j in range(i))
+    assert m.raw(at, x) == pytest.approx(0.3 + m.linear[at] @ x + pairs)
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(2)
+    good = [(i, " ".join(words(rng, 50)) + ".", 1) for i in range(150)]
+    bad = [(i, "BUY!! " * rng.randint(5, 60) + "$$$", 0) for i in range(150, 250)]
+    frame = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    labels = frame.select("doc_id", "quality", F.lit(0).alias("toxic"))
+    model = quality.train(frame.drop("quality"), labels)
+    rows = {r["doc_id"]: r for r in quality.score(frame.drop("quality"), model).collect()}
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(rows[i]["held_out"] == (i in held) for i in rows)
+    assert np.mean([rows[i]["predicted"] == (i < 150) for i in held]) > 0.95
+    odd = quality.score(docs, model).collect()
+    assert len(odd) == docs.count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in odd)
+    assert quality.score(none, model).count() == 0
+    again = quality.train(frame.drop("quality"), labels)
+    assert np.array_equal(again.factors, model.factors)
+    blank = quality.train(frame.drop("quality"), labels.limit(0))
+    assert quality.score(frame.limit(1), blank).first()["score"] == 0.5
+
+
+def test_urls(spark):
+    cases = {
+        "https://a.ORG/x": ("a.org", "/x", "org/", "allow"), "http://s.example.org/es/1?q": ("s.example.org", "/es/1", "example.org/es/", "block"),
+        "http://example.org/en/12": ("example.org", "/en/12", "example.org/en/1", "block"), "http://x.com/fr/casino": ("x.com", "/fr/casino", "com/fr/", "allow"),
+        "http://x.net/porn": ("x.net", "/porn", None, "block"), "http://x.net/pornography": ("x.net", "/pornography", None, "allow"),
+        "http://x.net/cheap": ("x.net", "/cheap", None, "allow"), "http://x.net/cheap-pills": ("x.net", "/cheap-pills", None, "block"), "http://x.net/cheap-cheap": ("x.net", "/cheap-cheap", None, "allow"),
+        "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://b.org": ("b.org", "", None, "allow"), "http://notexample.org#z/es/": ("notexample.org", "", None, "allow"), "": ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] * 2, "page_id long, url string").withColumn("host", F.lit("?"))
+    rows = urls.judge(pages).collect()
+    assert len(rows) == 2 * len(cases)
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == list(cases.values())[r["page_id"]]
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def brute_winnow(text, k, w):
+    hashes, mask = [], (1 << 64) - 1
+    k = min(k, len(text))
+    for i in range(len(text) - k + 1 if text else 0):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * winnow.BASE + ord(c) + 1) & mask
+        hashes.append((((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & mask) >> 32)
+    out = []
+    for i in range(max(len(hashes) - w + 1, bool(hashes))):
+        window = hashes[i : i + w]
+        at = max(j for j, h in enumerate(window) if h == min(window)) + i
+        if not out or out[-1][1] != at:
+            out.append((hashes[at], at))
+    return out
+
+
+def test_winnowing(spark):
+    rng = random.Random(4)
+    for _ in range(150):
+        t = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 90)))
+        k, w = rng.choice([(3, 4), (12, 20), (5, 1)])
+        h, p = winnow.winnow(t, k, w)
+        assert list(zip(h.tolist(), p.tolist(), strict=True)) == brute_winnow(t, k, w)
+    shared = "".join(rng.choice(string.ascii_letters) for _ in range(winnow.K + winnow.WINDOW - 1))
+    one, two = (winnow.winnow("".join(rng.choice(string.ascii_letters) for _ in range(100)) + shared + "!" * i)[0] for i in (3, 9))
+    assert len(np.intersect1d(one, two)) >= 1
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 20_000])
+def test_edits(docs, none, bucket_rows):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] is not None), key=lambda r: (-r[0], r[1]))
+    rows += [(None, r["text"] or "") for r in docs.collect() if r["doc_id"] is None]
+    want = {}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        a, b, c = (set(winnow.winnow(x)[0].tolist()) for x in (t, edited, after))
+        near = lambda x, y: len(x & y) / len(x | y) if x and y else float(x == y)
+        want.setdefault(i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), near(a, b), near(a, c)))
+    got = {}
+    for r in winnow.edit_likeness(docs, bucket_rows=bucket_rows).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+    assert winnow.edit_likeness(none).count() == 0
+
+
+def test_one_document_follows_itself(spark):
+    r = winnow.edit_likeness(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
+    assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+    assert r["near_next"] == 1.0
+
+
+def brute_spans(text):
+    found = []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [x[2] for x in sorted(found)]
+
+
+def test_secrets(spark, docs, none):
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "api_key", "toKen", "ſecret=abcdefgh", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12345678", "abc", "deadbeef" * 3, "é😀", "\n", "short", "long-enough/value"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
+    for r in secrets.digests(secrets.find_secrets(frame)).collect():
+        want = brute_spans(texts[r["doc_id"]]) if r["doc_id"] < 900 else []
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("literal")] == want
+    assert secrets.find_secrets(docs).count() == docs.count()
+    assert secrets.find_secrets(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('db_pass = "Xk39!fjQp2Lm"', ["Xk39!fjQp2Lm"]), ('A = "abc123XYZ987"\nclient_credential = A', ["abc123XYZ987"]), ("RAW=9fK2lMn8Qz77x\nAUTH_BEARER=${RAW}", ["9fK2lMn8Qz77x"]),
+        ('{"private-key": "Zx81kd02mmQQ"}', ["Zx81kd02mmQQ"]), ('x = "Zx81kd02mmQQ"', []), ('auth_pwd = "your_password_1"', []), ("he said the key: in there", []), ('pwd = "Aa1!" + "Bb2?Cc3/"', ["Aa1!", "Bb2?Cc3/"]),
+    ],
+)
+def test_assignments(text, found):
+    assert [text[s:e] for s, _, e in secrets.literal_spans(text)] == found
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([(1, 'token = "0123456789abcdef0123456789" end'), (2, None), (3, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert got == {1: 'token = "[redacted]" end', 2: None, 3: "clean"}
+
+
+@pytest.mark.parametrize("head", [3, 1000])
+def test_language_model(spark, docs, none, head, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "ITEMS", min(head, 20))
+    rows = docs.select("doc_id", "text").collect()
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None]
+    out = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    counts = {}
+    for r in rows:
+        if not out(r["doc_id"]):
+            for w in split(r["text"]):
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(r["doc_id"]), out(r["doc_id"]), len(split(r["text"])), sum(w in counts for w in split(r["text"])), round(sum(np.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in split(r["text"])), 6)) for r in rows)
+    got = brown.score(docs).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 and r["train_tokens"] == n for r in got)
+    assert brown.score(none).count() == 0
+
+
+def test_exchange_finds_alternating_classes():
+    """Words of two kinds that take turns: a kind is a class, and no move raises the likelihood."""
+    rng = np.random.default_rng(3)
+    n = 21
+    pairs = np.zeros((n, n))
+    for _ in range(5_000):
+        a, b = rng.integers(0, 10), rng.integers(10, 20)
+        pairs[a, b] += 1
+        pairs[b, rng.integers(0, 10)] += 1
+    pairs[n - 1, 0] = pairs[10, n - 1] = 5
+    of = brown.exchange(pairs, classes=3)
+    assert len(set(of[:10])) == 1
+    assert len(set(of[10:20])) == 1
+    assert of[0] != of[10]
+
+
+def test_model_sums_to_one(spark):
+    """Over all words and one unseen word of each shape, P(w | class) and the transitions sum to 1."""
+    rng = random.Random(9)
+    frame = spark.createDataFrame([(i, " ".join(words(rng, 40, 4))) for i in range(40)], "doc_id long, text string")
+    training = frame.where(~brown.held_out(F.col("doc_id"))).select("text")
+    counts = brown.word_counts(training).cache()
+    model, _ = brown.fit(training, counts)
+    assert np.allclose((10**model.transition).sum(1), 1)
+    mass = np.zeros(brown.CLASSES)
+    np.add.at(mass, model.head_class, 10**model.head_share)
+    np.add.at(mass, model.shape_class, 10 ** (model.shape_share + np.log10(brown.ADD)))
+    used = np.unique(np.concatenate([model.head_class, model.shape_class]))
+    assert np.allclose(mass[used], 1)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3_000, 16)).astype(np.float32)
+    v[100:1_100] = v[100]  # one vector a third of the rows
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5_000, None), (5_001, [0.0] * 16), (5_002, [float("nan")] * 16), (5_003, [None] * 16), (5_004, []), (None, v[0].tolist()), (7, v[7].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "shard": F.lit(1)})
+    got = {}
+    for r in hnsw.neighbours(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 3_000, 50))
+    hits = 0
+    for q, found in got.items():
+        scores = np.zeros(len(v))
+        for j in range(16):
+            scores += v[:, j].astype(float) * float(v[q, j])
+        order = [i for i in np.lexsort((np.arange(len(v)), -scores)) if i != q][:20]
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert all(s == scores[i] for _, i, s in found)
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        hits += len({i for _, i, _ in found} & set(order))
+    assert hits >= 0.9 * 20 * len(got)
+    few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>")
+    assert hnsw.neighbours(few, F.col("vec_id") == 0).count() == 4
+    assert hnsw.neighbours(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_pieces(spark, docs, none):
+    import sentencepiece
+
+    tool = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer())
+    odd = ["", " ", "  a  b", "a ", "▁x", "x▁▁ y", "\x00", "a\nb", "\xa0", "é  ñ 😀 x", "<s>", "日本 語", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 1_000).alias("doc_id"), "text"))
+    texts = {}
+    for r in frame.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    rows = pieces.encode(frame.withColumn("ids", F.lit(1)), queries.tokenizer()).collect()
+    assert len(rows) == frame.count()
+    for r in rows:
+        t = next((t for t in texts[r["doc_id"]] if tool.encode(t) == r["ids"]), None)
+        assert t is not None
+        assert r["decoded"] == tool.decode(r["ids"])
+        data = t.encode()
+        assert [data[a:b] for a, b in zip(r["starts"], r["ends"], strict=True)] == [data[a:b] for a, b in zip(r["starts"], [*r["starts"][1:], len(data)], strict=True)]
+        for i, a, b in list(zip(r["ids"], r["starts"], r["ends"], strict=True))[1:50]:
+            assert tool.is_byte(i) or data[a:b].decode().replace(" ", "▁") == tool.id_to_piece(i)
+    assert pieces.encode(none, queries.tokenizer()).count() == 0
+
+
+def test_character_map():
+    """The longest-prefix normaliser against the library's own, with a compiled map."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    own = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    tool = pieces.Normaliser(pb.ModelProto.FromString(own.serialized_model_proto()))
+    rng = random.Random(1)
+    for text in ["", " ", "ﬁne  ＡＢＣ ½ x ", "㌔ a　b\tq\n", "é é ①", *("".join(rng.choice(["a", " ", "　", "ﬁ", "é", "́", "㌔", "１", "\t"]) for _ in range(30)) for _ in range(100))]:
+        out, source = tool(text.encode())
+        assert out.decode() == own.normalize(text)
+        assert len(source) == len(out) + 1
+        assert all(a <= b for a, b in zip(source, source[1:], strict=False))
