@@ -8,7 +8,7 @@ are a matrix of fixed size, so the exchange runs on the driver: each item in tur
 likelihood of the training pairs most, until a sweep moves nothing or ``SWEEPS`` are done.
 
 A word of a shape is emitted with (c + 0.1) / (n + 0.1 (v + 1)) of its shape's share, so unseen words have a probability.
-A dictionary of ``HEAD`` words is sent to the workers; the counts of all other words are found by a join on the word.
+A dictionary of the ``HEAD`` most frequent words at most is sent to the workers; the counts of all other words are found by a join on the word.
 
 Null and empty texts are their end alone.  A null id counts as held out.  Repeated rows are scored, and counted, each for
 itself.  Without training texts all counts are 0 and a text of n tokens scores as under uniform shares.
@@ -241,11 +241,22 @@ class Model:
         return [(int(n[i]), int(in_head[i]), float(base[i]), float(model[i]), [words[j] for j in rare[cuts[i] : cuts[i + 1]]]) for i in range(len(texts))]
 
 
+def least_count(counts: DataFrame) -> int:
+    """The least count of which, and above which, there are at most ``HEAD`` words; from a histogram, not from a sort of all."""
+    held = 0
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD + 1).collect():
+        held += row["words"]
+        if held > HEAD:
+            return row["n"] + 1
+    return 1
+
+
 def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, int]:
     """The model of the training texts (column ``text``) and the number of their tokens."""
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    words, found = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy().astype(float)
+    top = counts.where(F.col("n") >= least_count(counts)).toArrow()
+    order = sorted(zip((-n for n in top["n"].to_pylist()), map(bytes, top["word"].to_pylist()), strict=True))
+    words, found = [w for _, w in order], np.array([-n for n, _ in order], float)
     items = [w for w in words if w != END][:ITEMS]
     rank = {w: i for i, w in enumerate(items)}
     # items first, in order, so that an item's number is its place; the end stays where its count puts it
