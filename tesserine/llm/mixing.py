@@ -4,7 +4,8 @@
    ``TRAIN_ROWS`` of them, those with the smallest hash of their key.
 2. Every document gets a posterior over the domains, from all its words.  Log-likelihoods are divided by the root of the
    number of words, as words of one document are not independent.
-3. Rates x >= 0 solve min 1/2 sum_d ((sum_i x_i tokens_i p_id - T_d) / T_d)^2 by projected gradient steps from x = 1.  A step
+3. Rates x >= 0 solve min 1/2 sum_d ((sum_i x_i tokens_i p_id - T_d) / s_d)^2 by projected gradient steps from x = 1, with
+   s_d^2 = sum_i tokens_i p_id^2, so that a step's length depends neither on the targets nor on the corpus's size.  A step
    takes one aggregation of as many sums as there are domains; rates are functions of the residuals so far, and the
    table is rewritten with them every ``REWRITE`` steps.
 
@@ -89,17 +90,18 @@ def fit_rates(docs: DataFrame, weights: list[float], cover: bool = False, steps:
     if cover:
         whole = max((COVER * (mass[f"t{i}"] or 0) / w for i, w in enumerate(weights) if w > 0), default=whole)
     goal = [w * whole for w in weights]
-    scale = [max(g, 1e-3 * whole, 1e-9) for g in goal]  # a target of no tokens has no relative error
-    # In the metric where a document weighs its tokens, the curvature is the matrix sum_i tokens_i p_ia p_ib / (T_a T_b);
-    # its largest row sum bounds the largest eigenvalue, so the step never overshoots.
-    bound = max((sum((mass[f"m{i}_{j}"] or 0.0) / (scale[i] * scale[j]) for j in d) for i in d), default=0.0)
+    # In the metric where a document weighs its tokens, the curvature is the matrix sum_i tokens_i p_ia p_ib / (s_a s_b),
+    # with ones on its diagonal; its largest row sum bounds the largest eigenvalue, so a step never overshoots.
+    scale = [math.sqrt(max(mass[f"m{i}_{i}"] or 0.0, 1e-9)) for i in d]
+    bound = max(sum((mass[f"m{i}_{j}"] or 0.0) / (scale[i] * scale[j]) for j in d) for i in d)
     state, moves = docs.withColumn("rate", F.lit(1.0)), []
     written = None
     for step in range(steps):
         rate = stepped(F.col("rate"), moves)
         totals = state.agg(*(F.sum(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in d)).first()
         residual = [((totals[f"t{i}"] or 0.0) - goal[i]) / scale[i] for i in d]
-        if not bound or max(map(abs, residual)) < tolerance:
+        far = max(abs(r) * scale[i] / max(goal[i], 1e-3 * whole, 1e-9) for i, r in enumerate(residual))
+        if not bound or far < tolerance:
             break
         moves.append([r / scale[i] / bound for i, r in enumerate(residual)])
         if len(moves) == REWRITE and step + 1 < steps:
