@@ -189,7 +189,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 class Model:
     """Log10 tables for scoring."""
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, items: int, pairs: np.ndarray, of: np.ndarray, n: int, distinct: int, shape_distinct: np.ndarray):
+    def __init__(self, head: list[bytes], counts: np.ndarray, items: int, pairs: np.ndarray, of: np.ndarray, n: int, distinct: int, shape_distinct: np.ndarray, ends: int):
         self.lexicon = Lexicon(head)
         classes = CLASSES
         member = np.zeros((len(of), classes))
@@ -210,7 +210,7 @@ class Model:
         self.head_seen = np.log10(counts + ADD)
         self.end_class, self.end_share = int(of[-1]), float(share[-1])
         self.scale = float(np.log10(n + ADD * (distinct + 1)))
-        self.end_seen = float(np.log10(ADD))
+        self.end_seen, self.end_known = float(np.log10(ends + ADD)), int(ends > 0)
 
     def score(self, texts: list[str | None], codes: Codes) -> list[tuple]:
         """Of each text: tokens, head tokens, base and score without what the join adds, and its other words."""
@@ -227,15 +227,14 @@ class Model:
             seen = np.where(tail, 0.0, self.head_seen[slot])
         else:
             klass, share, seen = self.shape_class[shaped], self.shape_share[shaped], np.zeros(len(words))
-        lost = is_end & (at < 0)  # no training text at all
         klass[is_end], share[is_end] = self.end_class, self.end_share
-        seen[lost] = self.end_seen
+        seen[is_end] = self.end_seen
         before = np.concatenate([[self.end_class], klass[:-1]])
         model = self.transition[before, klass] + share
         first = np.concatenate([[0], ends[:-1] + 1])
         n = ends - first + 1
         base, model = np.add.reduceat(seen, first) - n * self.scale, np.add.reduceat(model, first)
-        in_head = np.add.reduceat((at >= 0).astype(np.int64), first)
+        in_head = np.add.reduceat(np.where(is_end, self.end_known, at >= 0).astype(np.int64), first)
         rare = np.nonzero(tail)[0]
         cuts = np.searchsorted(rare, np.concatenate([first, [len(words)]]))
         return [(int(n[i]), int(in_head[i]), float(base[i]), float(model[i]), [words[j] for j in rare[cuts[i] : cuts[i + 1]]]) for i in range(len(texts))]
@@ -277,7 +276,8 @@ def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, int]:
     for row in counts.select("word").mapInArrow(shapes, "shape int, v long").groupBy("shape").agg(F.sum("v").alias("v")).collect():
         shape_distinct[row["shape"]] = row["v"]
     pairs = pair_counts(docs, lexicon)
-    return Model(words, found, len(items), pairs, exchange(pairs), n, distinct, shape_distinct), n
+    ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Model(words, found, len(items), pairs, exchange(pairs), n, distinct, shape_distinct, ends), n
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
