@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not SF.exists(), reason="the driver's tables are
 
 def canon(df):
     names = sorted(df.columns)
-    show = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return names, sorted(tuple(map(show, row)) for row in df[names].astype(object).itertuples(index=False))
 
 
