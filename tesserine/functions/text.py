@@ -129,15 +129,13 @@ def term_forms(term: Column) -> Column:
         r"(?Uiu)\s+(?:" + "|".join(FILLERS) + r")\s+",
     )
 
-    def shortened(forms: Column, pattern: str) -> Column:
+    def shortened(forms: Column, pattern: Column) -> Column:
         last = F.element_at(forms, -1)
-        new = F.trim(F.regexp_replace(last, pattern, ""), F.lit(" ,.;"))
+        new = F.trim(F.regexp_replace(last, pattern, F.lit("")), F.lit(" ,.;"))
         return F.when((new != "") & (new != last), F.array_append(forms, new)).otherwise(forms)
 
-    forms = F.array(term)
-    for pattern in cuts:
-        forms = shortened(forms, pattern)
-    return forms
+    # a fold: written out, each cut would repeat the ones before it several times over
+    return F.aggregate(F.array(*map(F.lit, cuts)), F.array(term), shortened)
 
 
 def sentence_id(code: Column) -> Column:
