@@ -17,9 +17,11 @@ from tesserine.llm.queries import tokenizer
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.  Without labelled rows nothing can be told, and all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    judged = quality.score(docs.withColumn("__text", F.col("text")), model, carry=("__text", *carried))
-    return judged.where("predicted = 1").withColumnRenamed("__text", "text").select(*docs.columns)
+    # columns travel under names of their own, whatever they are called
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns) if c != "doc_id"}
+    renamed = docs.select("doc_id", F.col("text").alias("__text"), *(F.col(c).alias(n) for c, n in inner.items()))
+    judged = quality.score(renamed, model, text="__text", carry=tuple(inner.values())).where("predicted = 1")
+    return judged.select(*(F.col(inner.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +47,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by the rates that give the languages their target shares of tokens; the mixture covers all."""
     known = table(spark, sf_dir, "labels").select("doc_id").distinct()
     labelled = docs.select("doc_id", "lang").join(known, "doc_id", "left_semi").select(F.col("doc_id").alias("key"), F.col("lang").alias("domain"))
-    copies = mixing.mix(docs, labelled, cover=True).select(F.col("doc_id").alias("__id"), "copies")
+    copies = mixing.mix(docs, labelled, cover=True).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
     told = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    many = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    many = F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     return told.select(*docs.columns, F.explode(many).alias("__copy")).select(*docs.columns)
 
 

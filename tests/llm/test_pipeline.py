@@ -17,7 +17,7 @@ def docs(spark):
     table = queries.table(spark, SF, "documents")
     odd = [(9_001, None, None, None, None), (9_002, "", "en", "s", 0), (None, "Um texto qualquer, sem id.", None, "s", 26), (9_003, "of the " * 30_000, "en", "s", 210_000)]
     more = spark.createDataFrame(odd, table.schema)
-    return table.unionByName(more).unionByName(table.where("doc_id < 5")).withColumns({"copies": F.lit(1), "kept": F.lit(1), "tokens": F.lit(1)}).cache()
+    return table.unionByName(more).unionByName(table.where("doc_id < 5")).withColumns({"copies": F.lit(1), "kept": F.lit(1), "tokens": F.lit(1), "score": F.lit(1), "predicted": F.lit(0)}).cache()
 
 
 @pytest.mark.parametrize("at", range(5))
