@@ -1,14 +1,16 @@
 """Brown class-based n-grams: exchange clustering puts words into classes, and a text's probability is the product of
 class transitions and word emissions, log10 P(w | before) = log10 P(class(w) | class(before)) + log10 P(w | class(w)).
 
-Counts of words and of neighbouring pairs cover every training text and are summed by Spark.  Clustering works on a fixed
-number of items however large the vocabulary grows: the ``ITEMS`` most frequent words one by one, every other word with
-those of its shape (a hash of its ending), and the end of a text, which keeps a class of its own.  The pair counts of items
-are a matrix of fixed size, so the exchange runs on the driver: each item in turn moves to the class that raises the
-likelihood of the training pairs most, until a sweep moves nothing or ``SWEEPS`` are done.
+Counts of words and of neighbouring pairs cover every training text and are summed by Spark.  Every training word has a class
+that its own neighbours chose, in three steps.  First the most frequent words (``ITEMS``, and more as the vocabulary grows:
+``most_items``) are exchanged on the driver, where each in turn moves to the class that raises the likelihood of the training
+pairs most, until a sweep moves nothing or ``SWEEPS`` are done; the other words count there by their shape (a hash of their
+ending), which is also the class they start from.  Then the other words of the dictionary, and then all words outside it, are
+moved once each to their best class, by the classes of all their neighbours, in a step that Spark distributes over the words.
+The end of a text keeps a class of its own.  Only words that training does not hold keep the class of their shape.
 
-A word of a shape is emitted with (c + 0.1) / (n + 0.1 (v + 1)) of its shape's share, so unseen words have a probability.
-A dictionary of the ``HEAD`` most frequent words at most is sent to the workers; the counts of all other words are found by a join on the word.
+A word is emitted with (c + 0.1) / (n + 0.1 v) of its class's n tokens; v is the class's words and one unseen word a shape.
+A dictionary of the ``HEAD`` most frequent words at most is sent to the workers; counts and classes of all other words are found by a join on the word.
 
 Null and empty texts are their end alone.  A null id counts as held out.  Repeated rows are scored, and counted, each for
 itself.  Without training texts all counts are 0 and a text of n tokens scores as under uniform shares.
@@ -30,6 +32,7 @@ from .common import cut, slices
 
 ITEMS, SHAPES, CLASSES, SWEEPS = 1_000, 512, 48, 8
 HEAD, FLUSH, REMEMBERED = 250_000, 200_000, 200_000
+GROUP = 256  # dictionary words whose neighbour counts travel as one row; times 2 CLASSES, below 65,536
 END = b"\n"  # no word holds a line end
 ADD = 0.1
 
@@ -186,129 +189,281 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-class Model:
-    """Log10 tables for scoring."""
+def most_items(distinct: int) -> int:
+    """How many words the driver exchanges: more as the vocabulary grows, by its cube root, as their pairs are a matrix there."""
+    return max(ITEMS, int(10 * distinct ** (1 / 3)))
+
+
+def least_count(counts: DataFrame) -> int:
+    """The least count of which, and above which, there are at most ``HEAD`` words; from a histogram, not from a sort of all."""
+    held = 0
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD + 1).collect():
+        held += row["words"]
+        if held > HEAD:
+            return row["n"] + 1
+    return 1
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, items: int, pairs: np.ndarray, of: np.ndarray, n: int, distinct: int, shape_distinct: np.ndarray, ends: int):
-        self.lexicon = Lexicon(head)
-        classes = CLASSES
-        member = np.zeros((len(of), classes))
-        member[np.arange(len(of)), of] = 1
-        between = member.T @ pairs @ member
-        self.transition = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * classes))
-        item_n = pairs.sum(0)
-        share = np.log10((item_n + ADD) / (member.T @ (item_n + ADD))[of])
-        shape_n = item_n[items : items + SHAPES]
-        self.shape_share = share[items : items + SHAPES] - np.log10(shape_n + ADD * (shape_distinct + 1))  # and log10(c + 0.1)
-        self.shape_class = of[items : items + SHAPES]
-        own = np.array([-1 - shape(w) if i >= items else i for i, w in enumerate(head)], np.int64) if head else np.zeros(0, np.int64)
-        where_end = np.array([w == END for w in head], bool) if head else np.zeros(0, bool)
-        shaped = own < 0
-        self.head_class = np.where(shaped, self.shape_class[np.where(shaped, -1 - own, 0)], of[np.where(shaped, 0, own)]) if head else own
-        self.head_share = np.where(shaped, self.shape_share[np.where(shaped, -1 - own, 0)] + np.log10(counts + ADD), share[np.where(shaped, 0, own)]) if head else np.zeros(0)
-        self.head_class[where_end], self.head_share[where_end] = of[-1], share[-1]
+
+def best_classes(word: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most, where word i is in ``own[i]`` and all others stay.
+
+    An entry (``word`` ascending, ``side``, ``n``) says how often a class follows the word, or, from ``len(between)`` on, stands before it.
+    """
+    classes, gain = len(between), np.zeros((len(own), len(between)))
+    facing = np.concatenate([between.T, between])
+    for at in range(0, len(word), 50_000):
+        w, x = word[at : at + 50_000], n[at : at + 50_000].astype(float)
+        cells = facing[side[at : at + 50_000]]
+        cells[np.arange(len(w)), own[w]] -= x
+        cells = np.maximum(cells, 0)
+        start = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
+        gain[w[start]] += np.add.reduceat(xlogx(cells + x[:, None]) - xlogx(cells), start)
+    for follows, total in ((True, between.sum(1)), (False, between.sum(0))):
+        here = (side < classes) == follows
+        x = np.bincount(word[here], n[here], len(own))
+        rest = np.tile(total, (len(own), 1))
+        rest[np.arange(len(own)), own] -= x
+        rest = np.maximum(rest, 0)
+        gain -= xlogx(rest + x[:, None]) - xlogx(rest)
+    gain[:, (between.sum(0) + between.sum(1) == 0) | (np.arange(classes) == 0)] = -np.inf  # words of all kinds would meet in an empty class
+    best, row = gain.argmax(1), np.arange(len(own))
+    return np.where(gain[row, best] > gain[row, own] + 1e-9, best, own)
+
+
+def placed_head(docs: DataFrame, head: Lexicon, own: np.ndarray, shape_class: np.ndarray, between: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """The classes of the dictionary after all its words but those of ``fixed`` moved once, over the column ``text``."""
+    held = docs.sparkSession.sparkContext.broadcast((head, own, shape_class, between, fixed))
+    groups = -(-head.size // GROUP)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, classes, of_shape, _, stays = held.value
+        codes, total = Codes(known.entries()), np.zeros(groups * GROUP * 2 * CLASSES, np.int32)
+        for part in slices(batches, 0):
+            words, ends = tokens(part.column(0).to_pylist())
+            at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            at[ends] = -1
+            kind = np.where(at < 0, of_shape[np.where(at < 0, -1 - at, 0)], classes[np.where(at < 0, 0, at)])
+            kind[ends] = 0
+            moves = np.nonzero((at >= 0) & ~stays[np.where(at < 0, 0, at)])[0]
+            cell = at[moves] * 2 * CLASSES
+            cell, n = np.unique(np.concatenate([cell + kind[moves + 1], cell + CLASSES + kind[moves - 1]]), return_counts=True)
+            total[cell] += n.astype(np.int32)
+        total = total.reshape(groups, -1)
+        for group in range(groups):
+            cell = np.nonzero(total[group])[0]
+            if len(cell):
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([cell.astype(np.uint16).tobytes()]), pa.array([total[group][cell].tobytes()])], names=["group", "cells", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, classes, _, pairs, _ = held.value
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group not in sums:
+                    sums[group] = np.zeros(GROUP * 2 * CLASSES, np.int64)
+                sums[group][np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int32)
+        for group, total in sums.items():
+            cell = np.nonzero(total)[0]
+            first = group * GROUP
+            best = best_classes(cell // (2 * CLASSES), cell % (2 * CLASSES), total[cell], np.resize(classes[first : first + GROUP], GROUP), pairs)
+            met = np.unique(cell // (2 * CLASSES))
+            yield pa.RecordBatch.from_arrays([pa.array((first + met).astype(np.int32)), pa.array(best[met].astype(np.int32))], names=["word", "class"])
+
+    got = docs.select("text").mapInArrow(count, "group int, cells binary, n binary").repartition("group").mapInArrow(place, "word int, class int").toArrow()
+    out = own.copy()
+    out[got["word"].to_numpy()] = got["class"].to_numpy()  # HEAD words at most
+    return out
+
+
+class Places:
+    """What a worker needs to turn a text into classes: the dictionary, its counts and classes, and the classes of the shapes."""
+
+    def __init__(self, head: Lexicon, counts: np.ndarray, classes: np.ndarray, shape_class: np.ndarray, n: int, distinct: int, ends: int):
+        self.lexicon, self.head_class, self.shape_class = head, classes, shape_class
         self.head_seen = np.log10(counts + ADD)
-        self.end_class, self.end_share = int(of[-1]), float(share[-1])
         self.scale = float(np.log10(n + ADD * (distinct + 1)))
         self.end_seen, self.end_known = float(np.log10(ends + ADD)), int(ends > 0)
 
-    def score(self, texts: list[str | None], codes: Codes) -> list[tuple]:
-        """Of each text: tokens, head tokens, base and score without what the join adds, and its other words."""
+    def sequences(self, texts: list[str | None], codes: Codes) -> list[tuple]:
+        """Of each text: tokens, dictionary tokens, log10 counts of those, classes (shapes' for other words), and its other words
+        with their place and the classes after and before it."""
         words, ends = tokens(texts)
         at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
         is_end = np.zeros(len(words), bool)
         is_end[ends] = True
         tail = (at < 0) & ~is_end
-        slot = np.where(at < 0, 0, at)
-        shaped = np.where(at < 0, -1 - at, 0)
-        if len(self.head_class):
-            klass = np.where(tail, self.shape_class[shaped], self.head_class[slot])
-            share = np.where(tail, self.shape_share[shaped], self.head_share[slot])
-            seen = np.where(tail, 0.0, self.head_seen[slot])
-        else:
-            klass, share, seen = self.shape_class[shaped], self.shape_share[shaped], np.zeros(len(words))
-        klass[is_end], share[is_end] = self.end_class, self.end_share
-        seen[is_end] = self.end_seen
-        before = np.concatenate([[self.end_class], klass[:-1]])
-        model = self.transition[before, klass] + share
+        kind = self.shape_class[np.where(at < 0, -1 - at, 0)]
+        seen = np.zeros(len(words))
+        if self.lexicon.size:
+            slot = np.where(at < 0, 0, at)
+            kind, seen = np.where(at < 0, kind, self.head_class[slot]), np.where(at < 0, 0.0, self.head_seen[slot])
+        kind[is_end], seen[is_end] = 0, self.end_seen
         first = np.concatenate([[0], ends[:-1] + 1])
-        n = ends - first + 1
-        base, model = np.add.reduceat(seen, first) - n * self.scale, np.add.reduceat(model, first)
+        n, seen = ends - first + 1, np.add.reduceat(seen, first)
         in_head = np.add.reduceat(np.where(is_end, self.end_known, at >= 0).astype(np.int64), first)
+        kind = kind.astype(np.uint8)
         rare = np.nonzero(tail)[0]
         cuts = np.searchsorted(rare, np.concatenate([first, [len(words)]]))
-        return [(int(n[i]), int(in_head[i]), float(base[i]), float(model[i]), [words[j] for j in rare[cuts[i] : cuts[i + 1]]]) for i in range(len(texts))]
+        out = []
+        for i, (a, b) in enumerate(zip(first, ends, strict=True)):
+            mine = rare[cuts[i] : cuts[i + 1]]
+            sides = kind[mine + 1].astype(int) * CLASSES + kind[mine - 1]  # before the first word stands an end, of class 0 as the last one's
+            out.append((int(n[i]), int(in_head[i]), float(seen[i]), kind[a : b + 1].tobytes(), [{"word": words[j], "at": j - a, "sides": s} for j, s in zip(mine.tolist(), sides.tolist(), strict=True)]))
+        return out
 
 
-def least_count(counts: DataFrame) -> int:
-    """The least count of which, and above which, there are at most ``HEAD`` words; from a histogram, not from a sort of all."""
-    held = 0
-    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD + 1).collect():
-        held += row["words"]
-        if held > HEAD:
-            return row["n"] + 1
-    return 1
+def transitions(rows: DataFrame) -> np.ndarray:
+    """How often each class follows each in the column ``classes``; before a text stands an end."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            kind = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            total += np.bincount(np.concatenate([[0], kind[:-1]]) * CLASSES + kind, minlength=CLASSES * CLASSES) if len(kind) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES, dtype=np.int32)), pa.array(total)], names=["pair", "n"])
 
-def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, int]:
-    """The model of the training texts (column ``text``) and the number of their tokens."""
+    got = rows.select("classes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros(CLASSES * CLASSES)
+    between[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return between.reshape(CLASSES, CLASSES)
+
+
+def placed_rare(scored: DataFrame, shape_class: np.ndarray, between: np.ndarray) -> DataFrame:
+    """``word, class, n`` of the training words outside the dictionary: each moved from its shape's class to its best one.
+
+    Such a word is rarer than every word of the dictionary, so that its neighbours fit in a list.
+    """
+    held = scored.sparkSession.sparkContext.broadcast((shape_class, between))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_shape, pairs = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                words, lists = part.column(0), part.column(1)
+                n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                word, sides = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                cell = word * 2 * CLASSES
+                cell, x = np.unique(np.concatenate([cell + sides // CLASSES, cell + CLASSES + sides % CLASSES]), return_counts=True)
+                own = of_shape[np.fromiter(map(shape, words.to_pylist()), np.int64, len(n))]
+                best = best_classes(cell // (2 * CLASSES), cell % (2 * CLASSES), x, own, pairs)
+                yield pa.RecordBatch.from_arrays([words, pa.array(best.astype(np.int32)), pa.array(n)], names=["word", "class", "n"])
+
+    sides = scored.where("training").select(F.explode("rare").alias("r")).select("r.word", "r.sides")
+    return sides.groupBy("word").agg(F.collect_list("sides").alias("sides")).mapInArrow(place, "word binary, class int, n long")
+
+
+class Model:
+    """Log10 tables for scoring."""
+
+    def __init__(self, places: Places, between: np.ndarray, rare_distinct: np.ndarray):
+        self.head_class, self.shape_class = places.head_class, places.shape_class
+        self.transition = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * CLASSES))
+        words = np.bincount(self.head_class, minlength=CLASSES) + np.bincount(self.shape_class, minlength=CLASSES) + rare_distinct
+        words[0] = 1  # the end, whether the dictionary holds it or not
+        self.total = np.log10(between.sum(0) + ADD * np.maximum(words, 1))
+        self.head_share = places.head_seen - self.total[self.head_class]
+        self.shape_share = -self.total[self.shape_class]  # and log10(c + 0.1)
+
+
+def learn(docs: DataFrame, counts: DataFrame) -> tuple[Places, int]:
+    """Classes of the dictionary and of the shapes from training texts (column ``text``), and the number of their tokens."""
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("n") >= least_count(counts)).toArrow()
     order = sorted(zip((-n for n in top["n"].to_pylist()), map(bytes, top["word"].to_pylist()), strict=True))
     words, found = [w for _, w in order], np.array([-n for n, _ in order], float)
-    items = [w for w in words if w != END][:ITEMS]
+    items = [w for w in words if w != END][: most_items(distinct)]
     rank = {w: i for i, w in enumerate(items)}
-    # items first, in order, so that an item's number is its place; the end stays where its count puts it
-    order = sorted(range(len(words)), key=lambda i: (words[i] not in rank, i))
-    words, found = [words[i] for i in order], found[order] if order else found
-    lexicon = Lexicon(items)
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(SHAPES, np.int64), held.value.entries()
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                if word not in known and word != END:
-                    total[shape(word)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES, dtype=np.int32)), pa.array(total)], names=["shape", "v"])
-
-    shape_distinct = np.zeros(SHAPES)
-    for row in counts.select("word").mapInArrow(shapes, "shape int, v long").groupBy("shape").agg(F.sum("v").alias("v")).collect():
-        shape_distinct[row["shape"]] = row["v"]
-    pairs = pair_counts(docs, lexicon)
+    pairs = pair_counts(docs, Lexicon(items))
+    of = exchange(pairs)
+    member = np.zeros((len(of), CLASSES))
+    member[np.arange(len(of)), of] = 1
+    shape_class = of[len(items) : len(items) + SHAPES]
+    fixed = np.array([w in rank or w == END for w in words], bool)
+    own = np.array([0 if w == END else of[rank[w]] if w in rank else shape_class[shape(w)] for w in words], np.int64)
+    head = Lexicon(words)
+    if not fixed.all():
+        own = placed_head(docs, head, own, shape_class, member.T @ pairs @ member, fixed)
     ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Model(words, found, len(items), pairs, exchange(pairs), n, distinct, shape_distinct, ends), n
+    return Places(head, found, own, shape_class, n, distinct, ends), n
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    training = rows.where(~held_out(F.col("key"))).select("text")
-    counts = cut(word_counts(training), "words")
-    model, n = fit(training, counts)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def placed_texts(numbered: DataFrame, places: Places) -> tuple[DataFrame, Model]:
+    """``row, key, training, n_tokens, n_known, seen, classes`` of each row (``row, key, text, training``), and the model of the training ones."""
+    held = numbered.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         codes = Codes(known.lexicon.entries())
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-        for part in slices(batches, 2):
-            done = known.score(part.column(2).to_pylist(), codes)
+        rare = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.int32()), ("sides", pa.int32())]))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), rare]
+        for part in slices(batches, 3):
+            done = known.sequences(part.column(3).to_pylist(), codes)
             columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "key", "n_tokens", "in_head", "base", "model", "rare"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["row", "key", "training", "n_tokens", "in_head", "seen", "classes", "rare"])
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "key", "text")
     kind = numbered.schema["key"].dataType.simpleString()
-    scored = cut(numbered.mapInArrow(run, f"row long, key {kind}, n_tokens long, in_head long, base double, model double, rare array<binary>"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word"))
-    rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("seen"), F.count("n").alias("known"))
-    seen, known = F.coalesce("seen", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    first = cut(numbered.select("row", "key", "training", "text").mapInArrow(run, f"row long, key {kind}, training boolean, n_tokens long, in_head long, seen double, classes binary, rare array<struct<word:binary,at:int,sides:int>>"), "scored")
+    words = cut(placed_rare(first, places.shape_class, transitions(first.where("training"))), "places")
+    rare_distinct = np.zeros(CLASSES)
+    for r in words.groupBy("class").agg(F.count(F.lit(1)).alias("v")).collect():
+        rare_distinct[r["class"]] = r["v"]
+
+    met = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.at").join(words, "word", "left")
+    met = met.groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_seen"),
+        F.count("n").alias("rare_known"),
+        F.collect_list(F.when(F.col("n").isNotNull(), F.col("at").cast("long") * CLASSES + F.col("class"))).alias("moved"),
+    )
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for classes, cells in zip(batch.column("classes").to_pylist(), batch.column("moved"), strict=True):
+                if cells.is_valid and len(cells):
+                    of, to = np.frombuffer(classes, np.uint8).copy(), cells.values.to_numpy()
+                    of[to // CLASSES] = to % CLASSES
+                    classes = of.tobytes()
+                out.append(classes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.binary())], names=[*batch.schema.names[:6], "classes"])
+
+    whole = first.join(met, "row", "left").select("row", "key", "training", "n_tokens", (F.col("in_head") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("seen") + F.coalesce("rare_seen", F.lit(0.0))).alias("seen"), "classes", "moved")
+    done = cut(whole.mapInArrow(moved, f"row long, key {kind}, training boolean, n_tokens long, n_known long, seen double, classes binary"), "classes")
+    return done, Model(places, transitions(done.where("training")), rare_distinct)
+
+
+def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, int]:
+    """The model of the training texts alone (column ``text``) and the number of their tokens."""
+    places, n = learn(docs, counts)
+    return placed_texts(docs.select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("key"), F.lit(True).alias("training"), "text"), places)[1], n
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    training = rows.where(~held_out(F.col("key"))).select("text")
+    counts = cut(word_counts(training), "words")
+    places, n = learn(training, counts)
+    done, model = placed_texts(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text", (~held_out(F.col("key"))).alias("training")), places)
+    held = docs.sparkSession.sparkContext.broadcast((model.transition - model.total).ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            out = []
+            for classes in batch.column("classes").to_pylist():
+                of = np.frombuffer(classes, np.uint8).astype(np.int64)
+                out.append(float(table[np.concatenate([[0], of[:-1]]) * CLASSES + of].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64())], names=[*batch.schema.names[:5], "model"])
+
+    kind = done.schema["key"].dataType.simpleString()
+    found = done.select("key", "training", "n_tokens", "n_known", "seen", "classes").mapInArrow(run, f"key {kind}, training boolean, n_tokens long, n_known long, seen double, model double")
+    return found.select(
         F.col("key").alias(key),
-        held_out(F.col("key")).alias("held_out"),
+        (~F.col("training")).alias("held_out"),
         "n_tokens",
-        (F.col("in_head") + known).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + seen).alias("base_score"),
-        (F.col("model") + seen).alias("score"),
+        (F.col("seen") - F.col("n_tokens") * places.scale).alias("base_score"),
+        (F.col("seen") + F.col("model")).alias("score"),
     )

@@ -425,3 +425,26 @@ def test_character_map():
         assert out.decode() == own.normalize(text)
         assert len(source) == len(out) + 1
         assert all(a <= b for a, b in zip(source, source[1:], strict=False))
+
+
+def test_every_training_word_is_placed_by_its_neighbours(spark, monkeypatch):
+    """Two kinds of words that take turns, all with one ending: most are neither exchanged nor in the dictionary, and a kind is still a class."""
+    monkeypatch.setattr(brown, "ITEMS", 4)
+    monkeypatch.setattr(brown, "most_items", lambda distinct: 4)
+    rng = random.Random(4)
+    frequent, rare = [["a0zzz", "a1zzz"], ["b0zzz", "b1zzz"]], [[f"{k}{i}zzz" for i in range(10, 70)] for k in "ab"]
+    texts = [" ".join(rng.choice(rare[j % 2] if rng.random() < 0.4 else frequent[j % 2]) for j in range(30)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = brown.word_counts(frame.select("text")).cache()
+    for head in (40, 1_000):
+        monkeypatch.setattr(brown, "HEAD", head)
+        places, _ = brown.learn(frame.select("text"), counts)
+        rows = frame.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("key"), F.lit(True).alias("training"), "text")
+        done, _ = brown.placed_texts(rows, places)
+        found = {}
+        for r in done.join(frame, done["key"] == frame["doc_id"]).select("text", "classes").collect():
+            for w, c in zip(r["text"].split(), bytes(r["classes"])):
+                found.setdefault(w, set()).add(c)
+        assert all(len(c) == 1 for c in found.values())
+        kinds = [{c for w in found if w[0] == k for c in found[w]} for k in "ab"]
+        assert not kinds[0] & kinds[1]
