@@ -534,7 +534,7 @@ def paired_difference(spark, d):
 def bootstrap_ci(spark, d):
     """Intervals of the share of good documents in each language; tests hold them to plain NumPy."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return ST.bootstrap(rows, "lang", "doc_id", "quality", resamples=1_000)
+    return ST.bootstrap(rows, "lang", "doc_id", "quality")
 
 
 @query("""

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -34,3 +35,19 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["split_sentences_rules", "hybrid_contexts", "split_terms", "bootstrap_ci"])
 def test_runs(spark, name):
     assert entry.queries()[name](spark, str(SF)).count() > 0
+
+
+def test_bootstrap_takes_all_resamples(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"doc_id": np.arange(300), "lang": ["de", "en", "en"] * 100, "quality": rng.integers(0, 10_000, 300)})
+    rows[["doc_id", "lang"]].to_parquet(tmp_path / "documents.parquet")
+    rows[["doc_id", "quality"]].to_parquet(tmp_path / "labels.parquet")
+    got = {r["lang"]: (r["low"], r["high"]) for r in entry.queries()["bootstrap_ci"](spark, str(tmp_path)).collect()}
+    for lang, part in rows.groupby("lang"):
+        values = part["quality"].to_numpy(float)
+        means = {}
+        for resamples in (1_000, 5_000):
+            draw = np.random.default_rng(42)
+            means[resamples] = np.sort([values[draw.integers(0, len(values), len(values))].mean() for _ in range(resamples)])
+        assert got[lang] == (means[5_000][125], means[5_000][4874])
+        assert got[lang] != (means[1_000][25], means[1_000][974])
