@@ -112,6 +112,12 @@ class Signer:
         return key.view(np.int64), packed.view(np.int64)
 
 
+def set_name(found: np.ndarray) -> tuple[int, int]:
+    """Two longs that stand for a set of shingles as a whole."""
+    whole = xxhash.xxh128_intdigest(found.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int) -> DataFrame:
     """``id, n, hi, lo, bands, sig`` of each row; ``hi`` and ``lo`` stand for the set as a whole."""
 
@@ -123,8 +129,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int) -> Data
             for value in part.column(1).to_pylist():
                 found = shingles(value, words, k)
                 if len(found):
-                    whole = xxhash.xxh128_intdigest(found.tobytes())
-                    rows.append((len(found), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), *sign(found)))
+                    rows.append((len(found), *set_name(found), *sign(found)))
                 else:
                     rows.append((0, 0, 0, None, None))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -207,23 +212,24 @@ def chosen_texts(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFr
 
 
 def shingle_rows(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, shingle``: the distinct shingles of the nodes ``ids``."""
+    """``id, hi, lo, shingle``: the distinct shingles of each set of the nodes ``ids``, however many rows hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part in slices(batches, 1, 1 << 20):
             found = [shingles(t, words, k) for t in part.column(1).to_pylist()]
-            id = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(id, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["id", "shingle"])
+            sizes, whole = [len(f) for f in found], [set_name(f) for f in found]
+            columns = [np.repeat(c, sizes) for c in (part.column(0).to_numpy(), np.array([h for h, _ in whole], np.int64), np.array([l for _, l in whole], np.int64))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(found).view(np.int64))], names=["id", "hi", "lo", "shingle"])
 
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingle long")
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hi long, lo long, shingle long").distinct()
 
 
 def rare_shingles(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, shingle, df`` of the shingles that at most ``RARE`` of the nodes ``ids`` have."""
+    """``id, hi, lo, shingle, df`` of the shingles that at most ``RARE`` sets of the nodes ``ids`` have."""
     rows = cut(shingle_rows(texts, ids, k), "shingles")
     few = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "few")
-    return rows.join(few, "shingle").select("id", "shingle", "df")
+    return rows.join(few, "shingle").select("id", "hi", "lo", "shingle", "df")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -237,7 +243,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     least = share - MARGIN * math.sqrt(share * (1 - share) / size) / (1 - 2.0**-BITS)
     signed = cut(signatures(docs, key, text, k, bands), "signed")
     sets = cut(signed.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id")), "sets")
-    nodes = cut(signed.join(sets, ["id", "hi", "lo"], "left_semi").select("id", "n", "bands", "sig"), "nodes")
+    nodes = cut(signed.join(sets, ["id", "hi", "lo"], "left_semi").select("id", "n", "hi", "lo", "bands", "sig"), "nodes")
     rows = nodes.select("id", F.explode("bands").alias("band"))
 
     # buckets of two nodes or more; the head of each is the node that meets most others, as the centre of a family does
@@ -271,8 +277,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     open_ = cut(open_.where("parts > 1 AND all > 2").select("band", "main"), "open")
     around = cut(inside.join(open_, "band"), "around")
     rare = cut(rare_shingles(texts, around.select("id").distinct(), k), "rare")
-    single = rare.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    spread = around.join(about, "id").join(single, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    single = rare.groupBy("id", "hi", "lo").agg(F.count(F.lit(1)).alias("own"))
+    spread = around.join(nodes.select("id", "n", "hi", "lo", "sig", "bands"), "id").join(single, ["id", "hi", "lo"], "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
     spread = cut(spread, "spread")
     left = spread.where("c != main").select("band", F.col("id").alias("a"), F.col("c").alias("p"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
     right = spread.select("band", F.col("id").alias("b"), F.col("c").alias("q"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"), (F.col("c") == F.col("main")).alias("of_main"))
@@ -283,9 +289,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     more = left.join(right, (left["band"] == right["band"]) & near & once).select("a", "b")
 
     # what the bound above leaves out shares a rare shingle, and the first that two nodes share stands in both their prefixes
-    place = Window.partitionBy("id").orderBy("df", "shingle")
-    known = spread.select("id", "c", "n", "sig").distinct()
-    first = rare.withColumn("at", F.row_number().over(place)).join(known, "id")
+    place = Window.partitionBy("id", "hi", "lo").orderBy("df", "shingle")
+    known = spread.select("id", "hi", "lo", "c", "n", "sig").distinct()
+    first = rare.withColumn("at", F.row_number().over(place)).join(known, ["id", "hi", "lo"])
     first = cut(first.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), "first")
     x = first.select("shingle", F.col("id").alias("a"), F.col("c").alias("p"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = first.select("shingle", F.col("id").alias("b"), F.col("c").alias("q"), F.col("n").alias("nb"), F.col("sig").alias("sb"))

@@ -448,3 +448,19 @@ def test_every_training_word_is_placed_by_its_neighbours(spark, monkeypatch):
         assert all(len(c) == 1 for c in found.values())
         kinds = [{c for w in found if w[0] == k for c in found[w]} for k in "ab"]
         assert not kinds[0] & kinds[1]
+
+
+def test_repeated_rows_of_a_family_count_once(spark):
+    """Rare shingles, their places and their counts a set are those of the rows taken once; two texts of one id stay apart."""
+    rng = random.Random(21)
+    base = words(rng, 150, 20)
+    rows = [(i, " ".join([*base[: 130 + i], *words(rng, 12, 20)])) for i in range(6)] + [(2, " ".join(words(rng, 40, 20)))]
+    ids = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    found = [sorted(map(tuple, neardup.rare_shingles(spark.createDataFrame(rows * n, "id long, text string"), ids, 3).collect())) for n in (1, 4)]
+    assert found[0] == found[1]
+    sets = {(i, *neardup.set_name(neardup.shingles(t, neardup.Words(), 3))): set(neardup.shingles(t, neardup.Words(), 3).view(np.int64).tolist()) for i, t in rows}
+    held = {}
+    for s in sets.values():
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    assert found[0] == sorted((*name, x, held[x]) for name, s in sets.items() for x in s if held[x] <= neardup.RARE)
