@@ -31,7 +31,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: How sensitive a part of a name is.
 SENSITIVE = {"password": 1.0, "pass": 0.8, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 0.9, "bearer": 0.8, "auth": 0.7, "private": 0.6, "access": 0.4, "signing": 0.4, "api": 0.4, "key": 0.5, "salt": 0.5}
-HINT = re.compile("pass|pwd|secret|token|cred|auth|bearer|private|salt|key", re.IGNORECASE | re.ASCII)
+#: A text without these holds no sensitive name; two parts of a name count together, so marks may stand between the letters.
+HINT = re.compile("|".join("[_.-]*".join(k) for k in SENSITIVE if not any(o in k for o in SENSITIVE if o != k)), re.IGNORECASE | re.ASCII)
 PLACEHOLDER = re.compile(r"example|sample|dummy|change.?me|your|placeholder|redacted|todo|none|null|true|false|x{4,}|\*{3,}|<.*>", re.IGNORECASE)
 THRESHOLD = 0.55
 LEXEME = re.compile(

@@ -464,3 +464,8 @@ def test_repeated_rows_of_a_family_count_once(spark):
         for x in s:
             held[x] = held.get(x, 0) + 1
     assert found[0] == sorted((*name, x, held[x]) for name, s in sets.items() for x in s if held[x] <= neardup.RARE)
+
+
+@pytest.mark.parametrize("name", ["api_access", "signing_access", "API.Signing", "to_ken"])
+def test_sensitive_names_need_no_other_hint(name):
+    assert [e - s for s, _, e in secrets.literal_spans(f'{name} = "Zx81kd02mmQQ!7aBcDeF"')] == [20]
