@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator turns into one output batch.
 SLICE_BYTES = 4 << 20
+#: Bytes of the longest word that a worker's caches keep.
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests, a single machine)."""
+    """The cluster's shared folder; one of our own only on a single machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tesserine-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -67,8 +71,3 @@ def fold_case(text):
     """Lower-case A-Z alone, as a column."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
-    """Deal a scan of too few splits over all cores; a scan that already has enough is left alone."""
-    want = minimum or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
