@@ -3,7 +3,9 @@
 The text is normalised here, not by the library: at each position the longest prefix in the model's compiled character
 map is replaced, and every byte written records the source byte it came from.  The library then cuts the normalised
 text into pieces (its own normaliser switched off), and each piece is projected through the record to the bytes of the
-original text.  Where no piece of a BPE vocabulary crosses the start of a word, words are cut once and remembered.
+original text.  A model with an empty map (such as ``piece_bpe_32k.model``) goes the same way; no prefix matches, so only
+spaces and the leading mark are written anew.  Where no piece of a BPE vocabulary crosses the start of a word, words are cut
+once and remembered, up to ``HELD_BYTES``.
 
 Null and empty texts have no pieces and decode to the empty string.  Extra columns of the input are not carried; columns
 ``ids``, ``starts``, ``ends`` and ``decoded`` of the result never clash with them.  Repeated rows give repeated rows.
@@ -23,12 +25,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import LONG_WORD, slices
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a worker remembers, bytes of words and ids that it holds before it forgets the rarer ones, and bytes
+#: of text that it turns into one batch.
+REMEMBERED, HELD_BYTES, SLICE = 300_000, 48 << 20, 2 << 20
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -44,6 +47,10 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if size else []
         self.strings = blob[4 + size :] if size else b""
+        # a key can start only where its first byte stands
+        root = (self.units[0] >> 10) << ((self.units[0] & 0x200) >> 6) if size else 0
+        first = bytes(b for b in range(1, 256) if size and (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b)
+        self.start = re.compile(b"[" + re.escape(first) + b"]") if first else None
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key that starts at ``at``, and its replacement."""
@@ -79,7 +86,7 @@ class Normaliser:
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         kept = sorted((p.piece.encode() for p in proto.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
         self.kept = re.compile(b"|".join(map(re.escape, kept))) if kept else None
-        self.plain = not (self.map.units or self.kept or self.squeeze or self.suffix) and self.prefix and self.escape
+        self.plain = not (self.kept or self.squeeze or self.suffix) and self.prefix and self.escape
 
     def step(self, data: bytes, at: int) -> tuple[bytes, int]:
         if self.kept and (m := self.kept.match(data, at)):
@@ -90,6 +97,27 @@ class Normaliser:
         n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return data[at : at + n], n
 
+    def substituted(self, data: bytes) -> tuple[bytes, np.ndarray | None]:
+        """The bytes after the map's longest prefixes were replaced, and source offsets as below; none where nothing was."""
+        if not self.map.start or not (m := self.map.start.search(data)):
+            return data, None
+        out, sources, kept = [], [], 0
+        while m:
+            at = m.start()
+            if hit := self.map.longest(data, at):
+                length, new = hit
+                out += (data[kept:at], new)
+                sources += (np.arange(kept, at), np.full(len(new), at))
+                kept = at = at + length
+            else:  # to the next character
+                at += 1
+                while at < len(data) and data[at] & 0xC0 == 0x80:
+                    at += 1
+            m = self.map.start.search(data, at)
+        if not kept:
+            return data, None
+        return b"".join([*out, data[kept:]]), np.concatenate([*sources, np.arange(kept, len(data) + 1)]).astype(np.int32)
+
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and source offsets: one for each of them and one for the end."""
         out, source, at, end = bytearray(), [], 0, len(data)
@@ -155,11 +183,11 @@ class Encoder:
         self.word: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.first, self.count, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.used = 0
+        self.used = self.letters = 0
 
     def shrink(self) -> None:
-        """Forget the words met least often; the rest stay, cut as they are."""
-        kept = [(w, i) for w, i in self.word.items() if self.hits[i] > 2][: REMEMBERED // 2]
+        """Forget the words met least often and all long ones; the rest stay, cut as they are."""
+        kept = [(w, i) for w, i in self.word.items() if self.hits[i] > 2 and len(w) <= LONG_WORD][: REMEMBERED // 2]
         at = np.fromiter((i for _, i in kept), np.int64, len(kept))
         count, first, hits = self.count[at], self.first[at], self.hits[at]
         flat = self.flat[ranges(first, count)]
@@ -178,6 +206,10 @@ class Encoder:
         self.count[base : base + len(words)] = sizes
         self.word.update(zip(words, range(base, base + len(words)), strict=True))
         self.used = end
+        self.letters += sum(map(len, words))
+
+    def full(self) -> bool:
+        return len(self.word) > REMEMBERED or 4 * (self.used + self.letters) > HELD_BYTES
 
     def find(self, words: list[str]) -> np.ndarray:
         """Numbers of distinct words (with their leading space marks); those not met before are cut now."""
@@ -207,7 +239,7 @@ class Encoder:
 
     def cut_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``cut``, from source texts of a model whose normaliser is plain and whose words can be cut one by one."""
-        if len(self.word) > REMEMBERED:
+        if self.full():
             self.shrink()
         at, per = self.numbered(texts)
         count = self.count[at]
@@ -233,32 +265,36 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends (bytes of the original text) of all texts in a row, and the number of ids of each."""
-        texts = [t or "" for t in column.to_pylist()]
-        if self.normaliser.plain:
+        data = [(t or "").encode() for t in column.to_pylist()]
+        mapped = [self.normaliser.substituted(d) for d in data] if self.normaliser.plain else []
+        if self.normaliser.plain and all(bool(d) == bool(m) for d, (m, _) in zip(data, mapped, strict=True)):
+            texts = [m.decode() for m, _ in mapped]
             if self.by_word:
                 ids, length, counts = self.cut_words(texts)
             else:
                 ids, length, counts = self.cut([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
-            source = self.plain_source(texts)
+            source = self.plain_source([m for m, _ in mapped], [o for _, o in mapped])
         else:
-            done = [self.normaliser(t.encode()) for t in texts]
+            done = [self.normaliser(d) for d in data]
             ids, length, counts = self.cut([d[0].decode() for d in done])
             source = np.concatenate([d[1] for d in done]) if done else np.zeros(0, np.int32)
         begin = np.cumsum(length) - length  # among the normalised bytes of all texts
-        begin += np.repeat(np.arange(len(texts)), counts)  # each text's record has one entry more than bytes
+        begin += np.repeat(np.arange(len(data)), counts)  # each text's record has one entry more than bytes
         return ids, source[begin], source[begin + length], counts
 
     @staticmethod
-    def plain_source(texts: list[str]) -> np.ndarray:
-        """The record of sources for a model without a character map: a space takes three bytes, and so does the prefix."""
-        data = [t.encode() for t in texts]
+    def plain_source(data: list[bytes], offsets: list[np.ndarray | None]) -> np.ndarray:
+        """The records of texts whose map is done (``offsets``), after spaces and the prefix took three bytes each."""
         size = np.fromiter(map(len, data), np.int64, len(data))
         joined = np.frombuffer(b"".join(d + b"." for d in data), np.uint8)  # the dot stands for the end
         ends = np.cumsum(size + 1)
-        width = np.where(joined == 32, 3, 1)
+        width = np.where(joined == 32, np.int8(3), np.int8(1))
         width[ends - 1] = 1
         full = size > 0
         local = (np.arange(len(joined)) - np.repeat(ends - size - 1, size + 1)).astype(np.int32)
+        for i, found in enumerate(offsets):
+            if found is not None:
+                local[ends[i] - size[i] - 1 : ends[i]] = found
         width[(ends - size - 1)[full]] += 3
         return np.repeat(local, width)
 
@@ -279,7 +315,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(model)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             ids, starts, ends, counts = tool.encode(part.column(1))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             decoded = [tool.whole.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

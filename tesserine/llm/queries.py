@@ -24,7 +24,7 @@ def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
-    return records.withColumnRenamed("key", "page_id").drop("header")
+    return records.withColumnRenamed("key", "page_id")
 
 
 def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,8 +161,7 @@ def test_warc_round_trip(spark):
     assert len(rows) == 8
     text = {(r["key"], r["record_type"]): r for r in rows}
     assert text[1, "conversion"]["content"] == "Um <dois\ntrês"
-    assert "title: A & b" not in text[1, "metadata"]["content"]
-    assert "title: A &amp; b\r\n" in text[1, "metadata"]["content"]
+    assert "title: A & b\r\nlanguage: pt\r\n" in text[1, "metadata"]["content"]
     assert "source-header: HTTP/1.1 200 OK\r\nsource-header: Content-Type" in text[1, "metadata"]["content"]
     data = b"".join(bytes(r["record"]) for r in warc.serialised(records).collect())
     parsed = warc.parse(data)
@@ -173,10 +172,48 @@ def test_warc_round_trip(spark):
         assert content.decode() == r["content"]
         assert headers["WARC-Refers-To"] == r["refers_to"]
         assert headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(content).hexdigest()
-    assert len({r["refers_to"] for r in rows}) == 3
+    assert len({r["refers_to"] for r in rows}) == 3  # the two rows that repeat are one capture
+    sources = {r["record_id"]: r for r in warc.response_records(warc.responses_of_pages(pages)).collect()}
+    assert {r["refers_to"] for r in rows} == set(sources)
     assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(("page", "title", "lang", "text"), [
+    ("", "", "", ""), ("a < b &lt; c &amp;amp; &eacute;&nbsp;&#x41;", "", "", "a < b < c &amp; é A"),
+    ('<a title="x > y">link</a> after', "", "", "link after"), ("<p>one<p>two<br/>three", "", "", "one\ntwo\nthree"),
+    ("<!-- open <p>never", "", "", ""), ("a<script>if (x < y) '</p>'</script>b", "", "", "a b"), ("a<SCRIPT src=x>no end <p>", "", "", "a"),
+    ('<a href="x>one</a> two', "", "", "one two"), ("<head><title>T\n t</title>x</head>y", "T t", "", "y"), ("<head><p>no end", "", "", "no end"),
+    ("<html dir=x lang = 'pt-BR'><title></title>z", "", "pt-BR", "z"), ("x <b", "", "", "x <b"), ("&#99999999999999999999;", "", "", "\ufffd"), ("a<!-->b", "", "", "a b"),
+    ("<!doctype html><?xml?>k<template><p>no</template>l", "", "", "k l"),
+])
+def test_reading_html(page, title, lang, text):
+    assert warc.read_html(page) == (title, lang, text)
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script>", "<a ", "<a '", '<a "x>y" ', "<head>", "<title>", "</title", "<", "&#9", " \n ", "<a \"'>", "<html lang ", "<p>", "<style></script>"])
+def test_a_page_takes_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    for tail in ("", "'", '"', ">", '">'):
+        warc.read_html(page + tail)
+    assert time.monotonic() - began < 20
+
+
+def test_files_round_trip(spark, tmp_path):
+    """Responses written as WARC files, plain and compressed, and read again, give the same derivatives."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>t{i}</title><p>é {i}") for i in range(6)], "page_id long, url string, html string")
+    made = warc.responses_of_pages(pages, date="2024-01-02T03:04:05Z")
+    records = [bytes(r["record"]) for r in warc.serialised(warc.response_records(made)).orderBy("key").collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:3]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[3:])))
+    names = ("record_type", "record_id", "refers_to", "target_uri", "block_digest", "header", "content")
+    got, want = (sorted(map(tuple, warc.derivatives(x).select(*names).collect())) for x in (warc.read_responses(spark, f"file://{tmp_path}"), made))
+    assert got == want and len(got) == 12
+    assert all("WARC-Date: 2024-01-02T03:04:05Z" in r[5] for r in got)
+
+
 def test_mixing(spark, docs, none):
     labelled = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("lang").alias("domain")).distinct()
     targets = {"en": 0.7, "de": 0.3}
@@ -463,6 +500,57 @@ def test_character_map():
         assert all(a <= b for a, b in zip(source, source[1:], strict=False))
 
 
+def mapped_model(folder):
+    """The installed model with the library's own compiled map in place of its empty one."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    own = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    proto = pb.ModelProto.FromString(open(queries.tokenizer(), "rb").read())
+    proto.normalizer_spec.precompiled_charsmap = pb.ModelProto.FromString(own.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    path = folder / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_pieces_of_a_model_with_a_map(spark, tmp_path):
+    """Encoding through the character map gives the library's ids, and spans that are the source of each piece."""
+    import sentencepiece
+
+    path = mapped_model(tmp_path)
+    tool, plain = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer())
+    rng = random.Random(3)
+    texts = ["", " ", "ﬁne  ＡＢＣ ½ x ", "㌔ a　b\tq\n", "é é ①", "\u200b", "plain text", "　", *("".join(rng.choice(["a", "the", " ", "　", "ﬁ", "é", "e", "\u0301", "㌔", "１", "\t", "日"]) for _ in range(40)) for _ in range(200))]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert any(tool.encode(t) != plain.encode(t) for t in texts)
+    one = pieces.Encoder(path).normaliser
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert r["ids"] == tool.encode(t)
+        assert r["decoded"] == tool.decode(r["ids"])
+        written, source = one(t.encode())  # byte by byte
+        ends = np.cumsum([len(tool.id_to_piece(i).encode()) if not tool.is_byte(i) else 1 for i in r["ids"]]).astype(int).tolist()
+        assert r["starts"] == [int(source[e]) for e in [0, *ends[:-1]][: len(ends)]]
+        assert r["ends"] == [int(source[e]) for e in ends]
+        assert not ends or ends[-1] == len(written)
+
+
+def test_words_without_spaces_are_not_kept():
+    """Long texts without a space are words of their own; what a worker holds stays bounded."""
+    tool = pieces.Encoder(queries.tokenizer())
+    rng = random.Random(9)
+    import pyarrow as pa
+
+    for _ in range(60):
+        tool.encode(pa.array(["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(20_000)) for _ in range(10)]))
+        assert 4 * (tool.used + tool.letters) < pieces.HELD_BYTES + 20_000 * 10 * 4 * 4
+    kept = tool.encode(pa.array(["a few short words"] * 5))
+    tool.shrink()
+    assert not [w for w in tool.word if len(w) > 64]
+    again = tool.encode(pa.array(["a few short words"] * 5))
+    assert all((x == y).all() for x, y in zip(kept, again, strict=True))
+
+
 def test_every_training_word_is_placed_by_its_neighbours(spark, monkeypatch):
     """Two kinds of words that take turns, all with one ending: most are neither exchanged nor in the dictionary, and a kind is still a class."""
     monkeypatch.setattr(brown, "ITEMS", 4)
