@@ -4,21 +4,29 @@
    ``TRAIN_ROWS`` of them, those with the smallest hash of their key.
 2. Every document gets a posterior over the domains, from all its words.  Log-likelihoods are divided by the root of the
    number of words, as words of one document are not independent.
-3. Rates x >= 0 solve min 1/2 sum_d ((sum_i x_i tokens_i p_id - T_d) / s_d)^2 by projected gradient steps from x = 1, with
-   s_d^2 = sum_i tokens_i p_id^2, so that a step's length depends neither on the targets nor on the corpus's size.  A step
-   takes one aggregation of as many sums as there are domains; rates are functions of the residuals so far, and the
-   table is rewritten with them every ``REWRITE`` steps.
+3. Rates x >= 0 solve min 1/2 r' G^-1 r, where r_d = sum_i x_i tokens_i p_id - T_d and G_de = sum_i tokens_i p_id p_ie, by
+   projected gradient steps from x = 1.  In this metric the curvature is at most 1, so whole steps never overshoot, and a
+   step that meets no bound ends at the targets.  Later steps take G over the documents that are off the bound (the
+   two-metric form), and are taken back where the loss rises.  Steps go on until every total is within ``TOLERANCE`` of its
+   target, or a step lowers the loss by less than ``PROGRESS``; what is then missed is reported (``Fit``), with a warning.
+   A step takes one aggregation of a few sums; rates are functions of the steps so far, and the table is rewritten with
+   them every ``REWRITE`` steps.
 
 Rows that share a key are one document, their words counted together; so are rows whose key is null.  A document without
 words has the prior as posterior and the rate 1: it has no tokens to weigh.  Domains outside ``targets`` are not fitted.
+Very long texts are split into words like any other, and counted before anything is shuffled.  An empty table gives an empty
+result; without labelled rows all documents have the same posterior.  Of the columns only key and text are read.
 Only DataFrame functions run on the executors; what is broadcast is ``SLOTS`` rows.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +34,10 @@ from .common import cut, drop_cut, fold_case
 
 TRAIN_ROWS = 8_000
 SLOTS = 4096
-STEPS, REWRITE, TOLERANCE = 60, 15, 1e-4
-#: How far above the least covering size a covering mixture lies, so that rates of about 1 don't fall below it.
+#: Steps between two writings of the rates; the relative distance at which a target is met; the share of the loss that a
+#: step must take off for another to follow.
+REWRITE, TOLERANCE, PROGRESS = 15, 1e-4, 0.05
+#: How far above the least covering size a covering mixture lies, so that rates of at least 1 can reach the targets.
 COVER = 1.02
 #: Weights of the languages in the mixture of the production query.
 TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -71,46 +81,72 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], key: str,
     return sums.select("key", "tokens", *((F.col(f"e{i}") / whole).alias(f"p{i}") for i in d))
 
 
-def stepped(x: Column, moves: list[list[float]]) -> Column:
+def stepped(x: Column, moves: list[list[float]], least: float) -> Column:
     """Rates after projected gradient steps; a move is what a step subtracts for each unit of posterior."""
     for move in moves:
         gradient = sum((F.col(f"p{i}") * m for i, m in enumerate(move)), F.lit(0.0))
-        x = F.greatest(F.lit(0.0), x - gradient)
+        x = F.greatest(F.lit(least), x - gradient)
     return x
 
 
-def fit_rates(docs: DataFrame, weights: list[float], cover: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` (``key``, ``tokens``, ``p0``, ...) with ``rate``.
+@dataclass
+class Fit:
+    """How a fit of rates ended: its steps, the token totals it reached and those it should reach, by domain."""
 
-    The mixture has as many tokens as the documents; with ``cover``, as many as it takes for no domain to shed any.
+    steps: int
+    reached: list[float]
+    wanted: list[float]
+
+    def missed(self) -> float:
+        """The largest distance of a total from its target, relative to the target (to a thousandth of all, if that is more)."""
+        whole = sum(self.wanted)
+        return max((abs(r - w) / max(w, 1e-3 * whole, 1e-9) for r, w in zip(self.reached, self.wanted, strict=True)), default=0.0)
+
+
+def fit_rates(docs: DataFrame, weights: list[float], cover: bool = False, tolerance: float = TOLERANCE) -> tuple[DataFrame, Fit]:
+    """``docs`` (``key``, ``tokens``, ``p0``, ...) with ``rate``, and how well the targets were met.
+
+    The mixture has as many tokens as the documents.  With ``cover`` no rate is below 1, and it has as many as that takes.
     """
     d = range(len(weights))
-    mass = docs.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in d), *(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in d for j in d)).first()
-    whole = mass["n"] or 0
+    sums = [F.sum(F.col("tokens") * F.col(f"p{i}")) for i in d] + [F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in d for j in d]
+    mass = np.array([x or 0.0 for x in docs.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()])
+    natural, gram = mass[: len(weights)], mass[len(weights) :].reshape(len(weights), -1)
+    whole = natural.sum()
     if cover:
-        whole = max((COVER * (mass[f"t{i}"] or 0) / w for i, w in enumerate(weights) if w > 0), default=whole)
-    goal = [w * whole for w in weights]
-    # In the metric where a document weighs its tokens, the curvature is the matrix sum_i tokens_i p_ia p_ib / (s_a s_b),
-    # with ones on its diagonal; its largest row sum bounds the largest eigenvalue, so a step never overshoots.
-    scale = [math.sqrt(max(mass[f"m{i}_{i}"] or 0.0, 1e-9)) for i in d]
-    bound = max(sum((mass[f"m{i}_{j}"] or 0.0) / (scale[i] * scale[j]) for j in d) for i in d)
-    state, moves = docs.withColumn("rate", F.lit(1.0)), []
-    written = None
-    for step in range(steps):
-        rate = stepped(F.col("rate"), moves)
-        totals = state.agg(*(F.sum(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in d)).first()
-        residual = [((totals[f"t{i}"] or 0.0) - goal[i]) / scale[i] for i in d]
-        far = max(abs(r) * scale[i] / max(goal[i], 1e-3 * whole, 1e-9) for i, r in enumerate(residual))
-        if not bound or far < tolerance:
+        whole = max((COVER * t / w for t, w in zip(natural, weights, strict=True) if w > 0), default=whole)
+    goal, least = np.array(weights) * whole, 1.0 if cover else 0.0
+    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    state, moves, written, steps = docs.withColumn("rate", F.lit(1.0)), [], None, 0
+    before, last, sharp = math.inf, None, False  # the loss and residual before the last move, and whether that was a sharp one
+    while True:
+        rate = stepped(F.col("rate"), moves, least)
+        row = state.withColumn("__x", rate).agg(*(F.sum(F.col("__x") * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in d), *(F.sum(F.when(F.col("__x") > least, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"m{i}_{j}") for i in d for j in d)).first()
+        found = np.array([x or 0.0 for x in row])
+        residual = found[: len(weights)] - goal
+        loss, fit = float(residual @ inverse @ residual), Fit(steps, found[: len(weights)].tolist(), goal.tolist())
+        if fit.missed() < tolerance or not whole:
+            break
+        if sharp and loss > before:  # a sharp move may overshoot; a whole one in its place does not
+            moves[-1], sharp = (inverse @ last).tolist(), False
+            continue
+        if not sharp and loss > before * (1 - PROGRESS):
             break
-        moves.append([r / scale[i] / bound for i, r in enumerate(residual)])
-        if len(moves) == REWRITE and step + 1 < steps:
-            new = cut(state.withColumn("rate", stepped(F.col("rate"), moves)), "rates")
+        if len(moves) >= REWRITE:
+            new = cut(state.withColumn("rate", rate), "rates")
             if written is not None:
                 drop_cut(written)
-            state = written = new
-            moves = []
-    return state.withColumn("rate", F.when(F.col("tokens") > 0, stepped(F.col("rate"), moves)).otherwise(1.0))
+            state, written, moves = new, new, []
+        # documents at the bound can't follow a step; one in the metric of the others goes as far as it takes
+        sharp = loss <= before * (1 - PROGRESS) or last is None
+        metric = np.linalg.pinv(found[len(weights) :].reshape(len(weights), -1), rcond=1e-9, hermitian=True) if sharp and steps else inverse
+        sharp = sharp and bool(steps)
+        before, last = loss, residual
+        moves.append((metric @ residual).tolist())
+        steps += 1
+    if fit.missed() >= tolerance:
+        warnings.warn(f"mixture: {steps} steps leave a domain {fit.missed():.2%} off its target", stacklevel=2)
+    return state.withColumn("rate", F.when(F.col("tokens") > 0, stepped(F.col("rate"), moves, least)).otherwise(1.0)), fit
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text", cover: bool = False) -> DataFrame:
@@ -125,7 +161,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     model, prior = fit_classifier(docs, labelled, domains, key, text)
     model = cut(model, "classifier")
     state = cut(posteriors(docs, model, prior, key, text), "posteriors")
-    rated = fit_rates(state, [targets[d] / whole for d in domains], cover)
+    rated, _ = fit_rates(state, [targets[d] / whole for d in domains], cover)
     draw = F.pmod(F.xxhash64(F.lit("mixing"), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     shown = F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))))
