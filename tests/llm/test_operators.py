@@ -512,11 +512,45 @@ def test_neighbours(spark):
         assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
         hits += len({i for _, i, _ in found} & set(order))
     assert hits >= 0.9 * 20 * len(got)
+    assert [tuple(r) for r in hnsw.neighbours(frame.unionByName(frame.where("vec_id < 200")), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()] == [(q, *f) for q in sorted(got) for f in [(r, i, s) for r, i, s in got[q]]]
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>")
     assert hnsw.neighbours(few, F.col("vec_id") == 0).count() == 4
     assert hnsw.neighbours(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_recall_in_a_full_shard():
+    """Random directions, of which no two are alike, are the hardest case; a shard of most rows is searched well enough."""
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(hnsw.SHARD_ROWS, 64)).astype(np.float32)
+    ids = np.arange(len(v))
+    query, found, score = hnsw.Graph(ids, v).answer(ids[:256], v[:256])
+    scores = v[:256].astype(float) @ v.T.astype(float)
+    scores[np.arange(256), np.arange(256)] = -np.inf
+    best = {(q, i) for q, row in enumerate(np.argsort(-scores, 1)[:, :20]) for i in row}
+    assert len(best & set(zip(query.tolist(), found.tolist(), strict=True))) >= 0.9 * len(best)
+
+
+def test_vectors_beyond_single_precision(spark, monkeypatch):
+    """Doubles keep their digits and their range, queries come in several blocks, and lengths don't mix."""
+    monkeypatch.setattr(hnsw, "BLOCK_BYTES", 2_000)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8)) * 1e60
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1_000 + i, x[:3].tolist()) for i, x in enumerate(v[:30])]
+    got = {}
+    for r in hnsw.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q, x in rows:
+        if q % 10 == 0:
+            want = []
+            for i, y in rows:
+                if len(x) == len(y) and i != q:
+                    score = 0.0
+                    for a, b in zip(x, y, strict=True):
+                        score += a * b
+                    want.append((-score, i))
+            assert got[q] == [(i, -s) for s, i in sorted(want)[:4]]
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
