@@ -13,7 +13,9 @@ A word is emitted with (c + 0.1) / (n + 0.1 v) of its class's n tokens; v is the
 A dictionary of the ``HEAD`` most frequent words at most is sent to the workers; counts and classes of all other words are found by a join on the word.
 
 Null and empty texts are their end alone.  A null id counts as held out.  Repeated rows are scored, and counted, each for
-itself.  Without training texts all counts are 0 and a text of n tokens scores as under uniform shares.
+itself.  Without training texts all counts are 0 and a text of n tokens scores as under uniform shares.  An empty table gives
+an empty result; columns but the key and the text are ignored; long texts are read whole, in batches of bounded bytes, and
+what a row gives (a byte and a class a token, and its words outside the dictionary) is linear in its length.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import LONG_WORD, cut, drop_cut, slices
 
 ITEMS, SHAPES, CLASSES, SWEEPS = 1_000, 512, 48, 8
-HEAD, FLUSH, REMEMBERED = 250_000, 200_000, 200_000
+HEAD, FLUSH, FLUSH_BYTES, REMEMBERED = 250_000, 200_000, 64 << 20, 200_000
 GROUP = 256  # dictionary words whose neighbour counts travel as one row; times 2 CLASSES, below 65,536
 END = b"\n"  # no word holds a line end
 ADD = 0.1
@@ -66,11 +68,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
 
         counter: Counter = Counter()
+        size = 0  # a bound of the bytes of new words
         for part in slices(batches, 0):
-            counter.update(tokens(part.column(0).to_pylist())[0])
-            if len(counter) > FLUSH:
+            before = len(counter)
+            words = tokens(part.column(0).to_pylist())[0]
+            counter.update(words)
+            size += (len(counter) - before) * max(map(len, words))
+            if len(counter) > FLUSH or size > FLUSH_BYTES:
                 yield flushed(counter)
-                counter = Counter()
+                counter, size = Counter(), 0
         if counter:
             yield flushed(counter)
 
@@ -108,9 +114,10 @@ class Codes(dict):
         code = self.entries.get(word)
         if code is None:
             code = -1 - shape(word)
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = code
+        if len(word) <= LONG_WORD:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -439,7 +446,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, int]:
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of each row."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     training = rows.where(~held_out(F.col("key"))).select("text")
     counts = cut(word_counts(training), "words")
@@ -466,4 +473,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("seen") - F.col("n_tokens") * places.scale).alias("base_score"),
         (F.col("seen") + F.col("model")).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("seen") + F.col("model")) / F.col("n_tokens")).alias("perplexity"),
     )

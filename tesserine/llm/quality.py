@@ -6,7 +6,8 @@ root of their count and scaled to length 1; each statistic falls into one of ``B
 
 Fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of their id, never on held-out ones; labels,
 language, source and id are no inputs of a score.  A null text scores as an empty one; a null id counts as held out.
-Without labelled rows every score is 0.5.  Repeated rows give repeated rows.
+Without labelled rows every score is 0.5.  Repeated rows give repeated rows; an empty table gives an empty result; columns
+that are not named in a call are ignored, whatever they are called, and long texts are read whole in batches of bounded bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import LONG_WORD, slices
 
 TRAIN_ROWS = 12_000
 WORDS, FACTORS, BINS = 1 << 13, 8, 8
@@ -36,12 +37,14 @@ STATS = 12
 
 
 class Slots(dict):
-    """Word to slot, kept as words come."""
+    """Word to slot, kept as words come, but for long ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        slot = self[word] = xxhash.xxh32_intdigest(word) & (WORDS - 1)
+        slot = xxhash.xxh32_intdigest(word) & (WORDS - 1)
+        if len(word) <= LONG_WORD:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = slot
         return slot
 
 
@@ -137,10 +140,16 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that aren't held out; their features, not their texts, reach the driver."""
+    """Fit on at most ``rows`` labelled documents that aren't held out; their features, not their texts, reach the driver.
+
+    Where rows that repeat a key would make them more than twice ``rows``, the text with the smallest hash stands for a key.
+    """
     chosen = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("key")))
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "label").limit(rows)
     found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").select("key", "label", "text")
+    if found.count() > 2 * rows:
+        of = F.struct(F.xxhash64("text").alias("mark"), "text")
+        found = found.groupBy("key", "label").agg(F.min(of).alias("of")).select("key", "label", "of.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
@@ -158,16 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns to ``carry``, ``held_out``, ``score``, ``predicted``."""
+    """``key``, the columns to ``carry``, ``held_out``, ``score``, ``predicted``; a text to carry travels once."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # WORDS + STATS * BINS vectors of FACTORS + 1 numbers
 
+    kept = text in carry and docs.schema[text].dataType.typeName() == "string"
+    source = docs.select(F.col(key), *carry) if kept else docs.select(F.col(key), *carry, F.col(text).cast("string").alias("__scored"))
+    at = source.columns.index(text) if kept else len(source.columns) - 1
+    fields = source.schema.fields if kept else source.schema.fields[:-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, known = Slots(), held.value
-        for part in slices(batches, 0):
-            scores = [known.score(t or "", slots) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores, pa.float64())], names=[*part.schema.names[1:], "score"])
+        for part in slices(batches, at):
+            scores = [known.score(t or "", slots) for t in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(scores, pa.float64())], names=[*part.schema.names[: len(fields)], "score"])
 
-    source = docs.select(F.col(text).cast("string").alias("__scored"), F.col(key), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     scored = source.mapInArrow(run, f"{schema}, score double")
     return scored.select(key, *carry, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

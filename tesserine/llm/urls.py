@@ -2,12 +2,14 @@
 
 A term counts where the characters beside it are neither a-z nor 0-9.  One strict term rejects a URL, and so do
 ``soft_needed`` different soft terms.  Null URLs and URLs without ``://`` have an empty host and path; a null URL holds
-no term and is allowed.  Repeated rows give repeated rows; an empty table gives an empty result.
+no term and is allowed.  Long URLs are read whole, in time linear in their length.  Repeated rows give repeated rows; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,9 +17,20 @@ from pyspark.sql import functions as F
 
 from .common import fold_case
 
-STRICT = ("porn", "xxx", "hentai", "viagra", "escort", "camgirls", "malware", "phishing", "warez", "keygen")
-SOFT = ("cheap", "pills", "casino", "betting", "poker", "spam", "farm", "free", "bonus", "adult", "dating", "loan", "replica", "winner", "crack")
+#: The vocabulary that is used where none is passed as a table.
+STRICT = (
+    "bukkake", "camgirls", "camsex", "carding", "casino", "casinos", "creampie", "cumshot", "cvv", "deepthroat", "escorts", "fetishporn", "gangbang", "hentai", "jailbait", "keygen",
+    "malware", "milf", "nsfw", "phishing", "porn", "porno", "pornhub", "sexcam", "sexcams", "slutty", "viagra", "warez", "xvideos", "xxx",
+)
+SOFT = (
+    "ad", "ads", "adult", "affiliate", "amateur", "bet", "bets", "betting", "bonus", "cams", "cash", "cheap", "click", "crack", "cracked", "dating", "discount", "escort", "farm", "free",
+    "gamble", "gambling", "girls", "hookup", "hot", "jackpot", "loan", "loans", "lottery", "naked", "nude", "payday", "pharmacy", "pills", "poker", "popup", "promo", "replica", "seo",
+    "serial", "sex", "sexy", "singles", "slot", "slots", "spam", "torrent", "track", "tracker", "unlimited", "win", "winner", "webcam",
+)
 SOFT_NEEDED = 2
+#: Terms that a table may hold; an automaton of so many takes some 100 MB in each worker.
+MOST_TERMS = 1_000_000
+INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -29,28 +42,48 @@ def address(url: Column) -> tuple[Column, Column]:
     return fold_case(F.regexp_extract(rest, "^[^/?#]*", 0)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table (``term``, ``strict boolean``); strict where a term is both.  Null and empty terms are none."""
+    rows = terms.select(fold_case(F.col("term").cast("string")).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).where("term <> ''")
+    found = rows.groupBy("term").agg(F.max("strict").alias("strict")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    return tuple(sorted(r["term"] for r in found if r["strict"])), tuple(sorted(r["term"] for r in found if not r["strict"]))
+
+
+@lru_cache(maxsize=2)
+def automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+    """Made once in a worker."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for term in soft:
+        made.add_word(term, ("soft", term))
+    for term in strict:
+        made.add_word(term, ("strict", term))
+    if len(made):
+        made.make_automaton()
+    return made
+
+
+def terms_in(url: str, made) -> dict[str, list[str]]:
+    """The distinct terms of a lower-cased URL that stand between other characters than a-z and 0-9."""
+    found: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for last, (weight, term) in made.iter(url) if len(made) else ():
+        before, after = last - len(term), last + 1
+        if (before < 0 or url[before] not in INNER) and (after == len(url) or url[after] not in INNER):
+            found[weight].add(term)
+    return {weight: sorted(terms) for weight, terms in found.items()}
+
+
 def hit_counter(strict: Sequence[str], soft: Sequence[str]):
     """A UDF: lower-cased URLs to the terms found in each, strict and soft."""
-    weight = {t: "soft" for t in soft} | {t: "strict" for t in strict}
+    words = tuple(strict), tuple(soft)
 
     @F.pandas_udf("strict array<string>, soft array<string>")
     def hits(urls: pd.Series) -> pd.DataFrame:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for term in weight:
-            automaton.add_word(term, term)
-        automaton.make_automaton()
-        inner = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
-        rows = []
-        for url in urls:
-            found: dict[str, set[str]] = {"strict": set(), "soft": set()}
-            for last, term in automaton.iter(url or ""):
-                before, after = last - len(term), last + 1
-                if (before < 0 or url[before] not in inner) and (after == len(url) or url[after] not in inner):
-                    found[weight[term]].add(term)
-            rows.append((sorted(found["strict"]), sorted(found["soft"])))
-        return pd.DataFrame(rows, columns=["strict", "soft"])
+        made = automaton(*words)
+        return pd.DataFrame([terms_in(url or "", made) for url in urls], columns=["strict", "soft"])
 
     return hits
 
@@ -59,12 +92,12 @@ def judge(
     pages: DataFrame,
     key: str = "page_id",
     url: str = "url",
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
+    terms: DataFrame | None = None,
     soft_needed: int = SOFT_NEEDED,
     rules: Sequence[tuple[str, str, str]] = RULES,
 ) -> DataFrame:
-    """``key``, ``host``, ``path``, ``rule``, ``verdict``, and the terms found in each URL."""
+    """``key``, ``host``, ``path``, ``rule``, ``verdict``, and the terms found in each URL; ``terms`` as in ``vocabulary``."""
+    strict, soft = vocabulary(terms) if terms is not None else (STRICT, SOFT)
     host, path = address(F.col("url"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url")).select("key", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hits", hit_counter(strict, soft)(fold_case(F.col("url"))))

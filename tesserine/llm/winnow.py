@@ -6,7 +6,8 @@ are alike (1.0), an empty and a full one are not (0.0).
 
 ``edit_likeness`` needs each document's neighbour in descending order of ids.  Ids alone are range-partitioned to find
 bucket bounds; each bucket then gets its rows and, as a last row, the head of the next bucket, so no task sees more than
-one bucket and nothing is ordered globally.  Rows with equal ids follow each other by text; null ids come last.
+one bucket and nothing is ordered globally.  Rows with equal ids follow each other by text, and are one bucket together, as
+are all null ids, which come last.  An empty table gives an empty result; columns but the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +93,12 @@ def written(hashes: np.ndarray) -> str:
     return hashes.astype(">u4").tobytes().hex()
 
 
+def shared(hashes: np.ndarray, positions: np.ndarray, others: np.ndarray, k: int) -> tuple[int | None, int | None]:
+    """Where in a text the grams lie that another fingerprint holds too: the first one's start and the last one's end."""
+    met = positions[np.isin(hashes, others)]
+    return (int(met[0]), int(met[-1]) + k) if len(met) else (None, None)
+
+
 def heads(ids: DataFrame, buckets: int) -> list[int]:
     """The greatest id of each of about ``buckets`` ranges of ids, descending."""
     parts = ids.where("id IS NOT NULL").repartitionByRange(buckets, F.desc("id"))
@@ -100,7 +107,10 @@ def heads(ids: DataFrame, buckets: int) -> list[int]:
 
 
 def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Each document against its edited text (its last third replaced from the next document) and the next document."""
+    """Each document against its edited text (its last third replaced from the next document) and the next document.
+
+    ``positions`` are those of the fingerprint's hashes; ``kept_from`` and ``kept_to`` bound the grams met in the edited text.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ids = rows.select("id")
@@ -123,25 +133,26 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     dealt = own.unionByName(guests).repartition(max(shuffles, 1), "bucket").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_prints"]
-        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+        names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "kept_from", "kept_to"]
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
         out, size, waiting, closed = [], 0, None, None
         for part in slices(batches, 3):
             for at, guest, id, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if guest and closed == at:
                     continue  # one neighbour is enough
                 value = value or ""
-                hashes = winnow(value, k, window)[0]
+                hashes, places = winnow(value, k, window)
                 known = np.unique(hashes)
                 if waiting and waiting[0] == at:
-                    _, own_id, own_text, own_hashes, own_known = waiting
+                    _, own_id, own_text, own_hashes, own_known, own_places = waiting
                     third = len(own_text) // 3
                     edited = own_text[: len(own_text) - third] + value[:third]
                     edited_hashes = winnow(edited, k, window)[0]
-                    row = (own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), written(own_hashes), written(edited_hashes), likeness(own_known, np.unique(edited_hashes)), likeness(own_known, known), len(own_hashes))
+                    span = shared(own_hashes, own_places, edited_hashes, min(k, len(own_text)))
+                    row = (own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), written(own_hashes), written(edited_hashes), likeness(own_known, np.unique(edited_hashes)), likeness(own_known, known), own_places.astype(np.int32), *span)
                     out.append(row)
-                    size += len(row[3]) + len(row[4]) + 150
-                waiting = None if guest else (at, id, value, hashes, known)
+                    size += len(row[3]) + len(row[4]) + 4 * len(own_places) + 150
+                waiting = None if guest else (at, id, value, hashes, known, places)
                 closed = at if guest else None
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -149,5 +160,5 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    result = dealt.mapInArrow(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_prints long")
+    result = dealt.mapInArrow(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, kept_from long, kept_to long")
     return result.withColumnRenamed("key", key)

@@ -326,6 +326,10 @@ def test_quality(spark, docs, none):
     assert quality.score(none, model).count() == 0
     again = quality.train(frame.drop("quality"), labels)
     assert np.array_equal(again.factors, model.factors)
+    many = frame.drop("quality").join(spark.range(5).withColumnRenamed("id", "again"), F.lit(True)).drop("again")
+    assert np.array_equal(quality.train(many, labels, rows=1_000).factors.shape, model.factors.shape)
+    few = quality.train(many, labels, rows=200)  # 1,000 rows bear the chosen keys
+    assert np.array_equal(few.factors, quality.train(frame.drop("quality"), labels, rows=200).factors)
     blank = quality.train(frame.drop("quality"), labels.limit(0))
     assert quality.score(frame.limit(1), blank).first()["score"] == 0.5
 
@@ -344,6 +348,28 @@ def test_urls(spark):
     for r in rows:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == list(cases.values())[r["page_id"]]
     assert urls.judge(pages.limit(0)).count() == 0
+    terms = spark.createDataFrame([("NOTHING", True), ("pills", False), ("pills", True), (None, True), ("", False), ("x.net", None), ("porn", None)], "term string, strict boolean")
+    told = {r["page_id"]: (r["strict_terms"], r["soft_terms"], r["verdict"]) for r in urls.judge(pages, terms=terms).collect()}
+    by = dict(zip(cases, range(len(cases)), strict=True))
+    assert told[by["nothing"]] == (["nothing"], [], "block")
+    assert told[by["http://x.net/cheap-pills"]] == (["pills"], ["x.net"], "block")
+    assert told[by["http://x.net/porn"]] == ([], ["porn", "x.net"], "block")
+    assert told[by["http://x.net/cheap"]] == ([], ["x.net"], "allow")
+    long = spark.createDataFrame([(1, "http://a.net/" + "cheap" * 400_000), (2, "http://a.net/" + "x-" * 500_000 + "casino")], "page_id long, url string")
+    assert {r["page_id"]: (r["verdict"], r["strict_terms"]) for r in urls.judge(long).collect()} == {1: ("allow", []), 2: ("block", ["casino"])}
+    assert urls.judge(pages, terms=terms.limit(0)).where("verdict = 'block'").count() == 4
+
+
+def test_strict_and_soft_terms_occur_on_pages(spark):
+    """The rejections of the query's vocabulary, against a regular expression a term."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    text = {r["page_id"]: (r["url"] or "").translate(LOWER) for r in pages.collect()}
+    got = urls.judge(pages).collect()
+    for r in got:
+        for found, terms in ((r["strict_terms"], urls.STRICT), (r["soft_terms"], urls.SOFT)):
+            assert found == sorted(t for t in terms if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", text[r["page_id"]]))
+    assert any(r["strict_terms"] for r in got)
+    assert any(len(r["soft_terms"]) >= 2 for r in got)
 
 
 def brute_winnow(text, k, w):
@@ -388,6 +414,9 @@ def test_edits(docs, none, bucket_rows):
         want.setdefault(i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), near(a, b), near(a, c)))
     got = {}
     for r in winnow.edit_likeness(docs, bucket_rows=bucket_rows).collect():
+        assert len(r["positions"]) * 8 == len(r["fingerprint"])
+        assert (r["kept_from"] is None) == (r["near_edited"] == 0 or not r["positions"])
+        assert r["kept_from"] is None or 0 <= r["kept_from"] < r["kept_to"] <= r["n_chars"]
         got.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]))
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
     assert winnow.edit_likeness(none).count() == 0
@@ -457,6 +486,7 @@ def test_language_model(spark, docs, none, head, monkeypatch):
     got = brown.score(docs).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(np.isfinite(r["score"]) and r["score"] < 0 and r["train_tokens"] == n for r in got)
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got)
     assert brown.score(none).count() == 0
 
 
