@@ -436,6 +436,7 @@ def placed_texts(numbered: DataFrame, places: Places) -> tuple[DataFrame, Model]
 
     whole = first.join(met, "row", "left").select("row", "key", "training", "n_tokens", (F.col("in_head") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("seen") + F.coalesce("rare_seen", F.lit(0.0))).alias("seen"), "classes", "moved")
     done = cut(whole.mapInArrow(moved, f"row long, key {kind}, training boolean, n_tokens long, n_known long, seen double, classes binary"), "classes")
+    drop_cut(first, words)
     return done, Model(places, transitions(done.where("training")), rare_distinct)
 
 
@@ -451,6 +452,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     training = rows.where(~held_out(F.col("key"))).select("text")
     counts = cut(word_counts(training), "words")
     places, n = learn(training, counts)
+    drop_cut(counts)
     done, model = placed_texts(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text", (~held_out(F.col("key"))).alias("training")), places)
     held = docs.sparkSession.sparkContext.broadcast((model.transition - model.total).ravel())
 

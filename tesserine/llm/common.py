@@ -39,18 +39,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserine/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote and that no later result reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/tesserine/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.cut_to = path
+    return written
+
+
+def drop_cut(*frames: DataFrame | None) -> None:
+    """Delete the files of tables that ``cut`` wrote and that no later result reads."""
+    for df in frames:
+        if folder := getattr(df, "cut_to", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

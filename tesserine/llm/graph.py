@@ -28,9 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         down = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = cut(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        for old in (e, low, large, least):
-            drop_cut(old)
+        drop_cut(e, low, large, least)
         e, before, mark = small, mark, _mark(small)
         if mark == before:
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found.cut_to = e.cut_to
+    return found

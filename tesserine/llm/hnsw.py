@@ -316,7 +316,6 @@ def neighbours(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str
         sent = block.toArrow()  # BLOCK_BYTES, whatever the table's size
         part = search(index, sent["id"].to_numpy(), [v.values.to_numpy() for v in sent["vector"]], k)
         found = part if found is None else found.unionByName(part)
-    for old in (points, again, queries):
-        drop_cut(old)
+    drop_cut(points, again, queries)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -134,8 +134,7 @@ def fit_rates(docs: DataFrame, weights: list[float], cover: bool = False, tolera
             break
         if len(moves) >= REWRITE:
             new = cut(state.withColumn("rate", rate), "rates")
-            if written is not None:
-                drop_cut(written)
+            drop_cut(written)
             state, written, moves = new, new, []
         # documents at the bound can't follow a step; one in the metric of the others goes as far as it takes
         sharp = loss <= before * (1 - PROGRESS) or last is None

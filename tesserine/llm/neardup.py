@@ -252,9 +252,12 @@ def chosen_texts(docs: DataFrame, key: str, text: str, keys: DataFrame) -> DataF
     # several tasks may have met the same key and text
     again = cut(few.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc", "mark"), "again")
     if not again.take(1):
+        drop_cut(again)
         return few
     once = few.join(again, ["doc", "mark"], "left_semi").groupBy("doc", "mark").agg(F.first("text").alias("text"))
-    return cut(few.join(again, ["doc", "mark"], "left_anti").unionByName(once), "texts")
+    texts = cut(few.join(again, ["doc", "mark"], "left_anti").unionByName(once), "texts")
+    drop_cut(few, again)
+    return texts
 
 
 def shingle_rows(keys: DataFrame, texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -272,10 +275,12 @@ def shingle_rows(keys: DataFrame, texts: DataFrame, ids: DataFrame, k: int) -> D
 
 
 def rare_shingles(keys: DataFrame, texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, shingle, df`` of the shingles that at most ``RARE`` of the nodes ``ids`` have."""
+    """``id, shingle, df`` of the shingles that at most ``RARE`` of the nodes ``ids`` have, as a table of its own."""
     rows = cut(shingle_rows(keys, texts, ids, k), "shingles")
     few = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "few")
-    return rows.join(few, "shingle").select("id", "shingle", "df")
+    rare = cut(rows.join(few, "shingle").select("id", "shingle", "df"), "rare")
+    drop_cut(rows, few)
+    return rare
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -319,7 +324,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
         return frame.join(named, column, "left").select(*frame.columns, F.coalesce("__c", column).alias(name))
 
     rest = at(at(likely.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "p"), "b", "q").where("p != q").select("a", "b")
-    stars = joined(stars, verified(cut(rest, "rest"), keys, texts, k, percent))
+    rest = cut(rest, "rest")
+    stars = joined(stars, verified(rest, keys, texts, k, percent))
 
     # buckets that still hold several components
     inside = cut(at(members.select("band", "id"), "id", "c"), "inside")
@@ -327,7 +333,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     open_ = counts.groupBy("band").agg(F.max_by("c", F.struct("rows", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("all"))
     open_ = cut(open_.where("parts > 1 AND all > 2").select("band", "main", (F.col("all") > SMALL).alias("large")), "open")
     around = cut(inside.join(open_, "band"), "around")
-    rare = cut(rare_shingles(keys, texts, around.select("id").distinct(), k), "rare")
+    rare = rare_shingles(keys, texts, around.select("id").distinct(), k)
     single = rare.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     spread = around.join(nodes.select("id", "n", "sig", "bands"), "id").join(single, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
     spread = cut(spread, "spread")
@@ -357,13 +363,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     alike = alike & (estimate(F.col("sa"), F.col("sb"), size) >= least)
     more = more.unionByName(x.join(y, (x["shingle"] == y["shingle"]) & alike).select("a", "b")).distinct()
     more = more.join(likely.select("a", "b"), ["a", "b"], "left_anti").join(likely.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    stars = joined(stars, verified(cut(more, "more"), keys, texts, k, percent))
+    more = cut(more, "more")
+    stars = joined(stars, verified(more, keys, texts, k, percent))
 
     # a component bears its smallest key
     found = at(nodes.select("id", "doc", "hi", "lo"), "id", "component")
     named = cut(found.join(found.groupBy("component").agg(F.min("doc").alias("least")), "component").select("hi", "lo", "least"), "named")
-    for old in (nodes, sizes, heads, members, pairs, likely, keys, texts, best, links, inside, open_, around, rare, first, spread):
-        drop_cut(old)
+    drop_cut(nodes, sizes, heads, members, pairs, likely, keys, texts, best, links, rest, inside, open_, around, rare, first, spread, more, stars)
     known = signed.select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")))
     return known.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -372,6 +378,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
 def joined(stars: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links; as they were, if there are none."""
     links = cut(links, "links")
-    if not links.take(1):
-        return stars
-    return components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+    found = stars
+    if links.take(1):
+        found = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        drop_cut(stars)
+    drop_cut(links)
+    return found
