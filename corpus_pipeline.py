@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import mixing, neardup, pieces, quality, secrets
-from tesserine.llm.common import cut, table
+from tesserine.llm.common import cut, drop_cut, table
 from tesserine.llm.queries import tokenizer
 
 
@@ -19,13 +19,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     # columns travel under names of their own, whatever they are called
     inner = {c: f"__c{i}" for i, c in enumerate(docs.columns) if c != "doc_id"}
-    renamed = docs.select("doc_id", F.col("text").alias("__text"), *(F.col(c).alias(n) for c, n in inner.items()))
-    judged = quality.score(renamed, model, text="__text", carry=tuple(inner.values())).where("predicted = 1")
+    renamed = docs.select("doc_id", *(F.col(c).alias(n) for c, n in inner.items()))
+    judged = quality.score(renamed, model, text=inner["text"], carry=tuple(inner.values())).where("predicted = 1")
     return judged.select(*(F.col(inner.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
+
+    An id whose rows differ in text goes if one of them is a near copy of a smaller id's.
+    """
     linked = neardup.link(docs)
     dropped = linked.where(~F.col("kept")).select("doc_id")
     kept = docs.join(dropped.distinct(), "doc_id", "left_anti")
@@ -75,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        drop_cut(before)
     return docs
