@@ -1,4 +1,4 @@
-"""Text functions as columns.  One Arrow function (Unicode normal forms, which Spark lacks); the rest is built in.
+"""Text functions as columns.  One Arrow function (Unicode normal forms, for texts beyond Latin letters); the rest is built in.
 
 Patterns spell their classes out, so that they mean the same in Java, Python and RE2.
 """
@@ -30,7 +30,14 @@ TERM_STOP_WORDS = (
 ).split()
 #: Expressions that qualify the term before them.
 QUALIFIERS = ("proposta por", "proposto por", "segundo", "conforme", "de acordo com", "baseada em", "baseado em", "com base em", "na perspectiva de")
-FILLERS = ("de natureza", "de cunho", "de caráter", "de carater", "do tipo", "de tipo", "com abordagem")
+FILLERS = ("de natureza", "de cunho", "de car[áa]ter", "d[eo] tipo", "com abordagem")
+#: Patterns of what a term is cut by, one after the other, to find the form that a vocabulary knows; whether case counts.
+FORM_CUTS = (
+    (r"\s*\([^)]*\)", True),
+    (r"\s*,?\s+(?:" + "|".join(QUALIFIERS) + r")\b.*$", False),
+    (r"\s+(?:de|da|do)\s+[A-ZÀ-Ý][\w-]*(?:\s+[A-ZÀ-Ý][\w-]*)*\s*$", True),
+    (r"\s+(?:" + "|".join(FILLERS) + r")\s+", False),
+)
 PLURALS = (("oes", "ao"), ("aes", "ao"), ("ais", "al"), ("eis", "el"))
 LEFTOVER_KEYWORDS = r"(?is)[\s\xA0]*\bpalavras?[- ]chaves?\s*:.*$"
 CLOSERS = "”’»\"')\\]"
@@ -40,6 +47,20 @@ NOT_INFORMED = "Não informado no resumo"
 STEM = 6
 
 
+def _bases(first: int, last: int) -> tuple[str, str]:
+    """The letters with marks of a range of code points, and the letters they are made of."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(first, last) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: What Spark can bring into a normal form itself, by form: texts of these characters, and the letters that change in them.
+#: Below U+0300 nothing composes; the quotation marks and dashes among U+2010 to U+2027 have no canonical form but their own.
+PLAIN = {
+    "NFC": (r"[^\x00-\x{2FF}\x{2010}-\x{2027}]", ("", "")),
+    "NFD": (r"[^\x00-\x{17F}\x{2010}-\x{2027}]", _bases(0xC0, 0x180)),
+}
+
+
 def unicode_form(text: Column, form: str) -> Column:
     """Unicode normal form; ASCII texts pass through."""
 
@@ -50,9 +71,22 @@ def unicode_form(text: Column, form: str) -> Column:
     return normal(text)
 
 
+def sparing_form(text: Column, form: str) -> Column:
+    """Unicode normal form, NFD without combining marks; only texts that Spark has no means for go to Python.
+
+    It names ``text`` several times, so it is for columns, not for long expressions.
+    """
+    other, letters = PLAIN[form]
+    foreign = F.rlike(text, F.lit(other))
+    done = unicode_form(F.when(foreign, text), form)
+    if form == "NFC":
+        return F.when(foreign, done).otherwise(text)
+    return F.when(foreign, F.regexp_replace(done, r"\p{Mn}+", "")).otherwise(F.translate(text, *letters))
+
+
 def normalized(text: Column) -> Column:
     """NFC; Windows characters repaired; words cut by a hyphen at a line's end rejoined; white space single and trimmed."""
-    text = F.translate(unicode_form(text, "NFC"), CP1252_FROM + CP1252_DROP, CP1252_TO)
+    text = F.translate(sparing_form(text, "NFC"), CP1252_FROM + CP1252_DROP, CP1252_TO)
     text = F.regexp_replace(text, rf"([{LETTER}])-[ \t]*\r?\n[ \t]*([{LETTER}])", "$1$2")
     return F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))
 
@@ -74,14 +108,14 @@ def without_marks(text: Column) -> Column:
 
 def retrieval_tokens(text: Column) -> Column:
     """Words of at least three letters, accents folded, stop words dropped, cut to six letters."""
-    words = F.regexp_extract_all(without_marks(text), F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit("[a-z]+"), F.lit(0))
     kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*RETRIEVAL_STOP_WORDS))
     return F.transform(kept, lambda w: F.substring(w, 1, STEM))
 
 
 def expression(text: Column) -> Column:
     """All words, accents folded, cut to six letters, one space apart: the form in which expressions are looked for."""
-    words = F.regexp_extract_all(without_marks(text), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, STEM)), " ")
 
 
@@ -122,12 +156,7 @@ def without_parentheses(text: Column) -> Column:
 
 def term_forms(term: Column) -> Column:
     """The forms in which a term is looked up, from the full one to the shortest."""
-    cuts = (
-        r"(?U)\s*\([^)]*\)",
-        r"(?Uiu)\s*,?\s+(?:" + "|".join(QUALIFIERS) + r")\b.*$",
-        r"(?U)\s+(?:de|da|do)\s+[A-ZÀ-Ý][\w-]*(?:\s+[A-ZÀ-Ý][\w-]*)*\s*$",
-        r"(?Uiu)\s+(?:" + "|".join(FILLERS) + r")\s+",
-    )
+    cuts = [f"(?{'U' if case else 'Uiu'}){pattern}" for pattern, case in FORM_CUTS]
 
     def shortened(forms: Column, pattern: Column) -> Column:
         last = F.element_at(forms, -1)

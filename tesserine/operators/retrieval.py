@@ -6,6 +6,7 @@ partitioned by group, and ties go to the smaller item position.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -38,8 +39,8 @@ def hashed_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), size), np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                seed = int.from_bytes(word.encode()[:16].ljust(16, b"\0"), "little") % (1 << 63)
-                out[i] += np.random.default_rng(seed).normal(size=size).astype(np.float32)
+                seed = hashlib.blake2b(word.encode(), digest_size=8).digest()
+                out[i] += np.random.default_rng(int.from_bytes(seed, "little")).normal(size=size).astype(np.float32)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
@@ -78,26 +79,31 @@ def fused(first: DataFrame, second: DataFrame, group: str, position: str, k: int
     return both.select(group, position, (share("__a") + share("__b")).alias("score"))
 
 
-def bm25(tokens: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame:
+def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame:
     """BM25-Okapi: ``group, item, score`` of every item.
 
-    ``tokens`` has one row a token (``group, item, token``; an item without tokens bears one null), ``query`` one row a query
-    token (``group, token``), repeated ones counting again.  A negative idf becomes EPSILON times the mean idf of the group.
+    ``items`` has ``group, item, tokens array<string>``; an item without tokens counts as one of a token of its own.  ``query``
+    has one row a query token, repeated ones counting again, of a group (``group, token``) or of all groups (``token``).  A
+    negative idf becomes EPSILON times the mean idf of the group.  Texts are read twice: for the counts of a group, in which
+    an item gives each of its tokens once, and for the scores, in which only tokens of the query leave their item.
     """
-    tokens = tokens.select(group, item, F.coalesce("token", F.lit("_")).alias("token"))
-    tf = tokens.groupBy(group, item, "token").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tf.groupBy(group, item).agg(F.sum("tf").alias("dl"))
-    sizes = lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy(group, "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(sizes, group).select(group, "token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    by = [group, "token"] if group in query.columns else ["token"]
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("_")))
+    items = items.select(group, item, tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    # the empty token stands for the item itself
+    once = items.select(group, "dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
+    counts = once.groupBy(group, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
+    sizes = counts.where("token = ''").select(group, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    idf = counts.where("token <> ''").join(sizes, group).select(group, "token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     means = idf.groupBy(group).agg(F.avg("idf").alias("mean_idf"))
-    wanted = query.groupBy(group, "token").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = idf.join(wanted, [group, "token"]).join(means, group)
+    wanted = query.groupBy(*by).agg(F.count(F.lit(1)).alias("qtf"))
+    weights = idf.join(wanted, by).join(means, group)
     weights = weights.select(group, "token", "avgdl", (F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).alias("weight"))
-    hits = tf.join(weights, [group, "token"]).join(lengths, [group, item])
+    every = items.select(group, item, "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
+    hits = every.join(weights, [group, "token"], "left").where("token = '' OR weight IS NOT NULL")
+    tf = hits.groupBy(group, item, "token").agg(F.count(F.lit(1)).alias("tf"), *(F.max(c).alias(c) for c in ("dl", "avgdl", "weight")))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(group, item).agg(F.sum(gain).alias("score"))
-    return lengths.select(group, item).join(scores, [group, item], "left").select(group, item, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return tf.groupBy(group, item).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("score"))
 
 
 def sent_along(entries: DataFrame) -> DataFrame:
@@ -173,11 +179,10 @@ def contexts(
     theme, method = make([f"query: {THEME_QUERY}", f"query: {METHOD_QUERY}"]).astype(float).tolist()
     scored = dense_scores(sentences, titles, theme, method, key)
     if technique == "hibrido":
-        tokens = sentences.select(key, "pos", F.explode_outer(T.retrieval_tokens(F.col("texto"))).alias("token"))
+        tokens = sentences.select(key, "pos", T.retrieval_tokens(F.col("texto")).alias("tokens"))
         own = docs.select(key, F.explode(T.retrieval_tokens(F.concat_ws(" ", "titulo", F.array_join("palavras_chave", " ")))).alias("token"))
         base = entries.select(F.explode(F.concat(F.array("termo"), "sinonimos", "sinais")).alias("e")).select(F.explode(T.retrieval_tokens(F.col("e"))).alias("token")).distinct()
-        everywhere = docs.select(key).join(sent_along(base), F.lit(True))
-        for name, query in (("theme_score", own), ("method_score", everywhere)):
+        for name, query in (("theme_score", own), ("method_score", base)):
             lexical = ranks(bm25(tokens, query, key, "pos"), key, "score", "pos", positive=True)
             total = fused(ranks(scored, key, name, "pos"), lexical, key, "pos").withColumnRenamed("score", "__f")
             scored = scored.join(total, [key, "pos"]).drop(name).withColumnRenamed("__f", name)

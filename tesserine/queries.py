@@ -14,6 +14,7 @@ from tesserine.operators import retrieval as R
 from tesserine.operators import statistics as ST
 from tesserine.operators import validation as V
 from tesserine.operators import vocabulary as VO
+from tesserine.plans import answers as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,14 +199,10 @@ _BM25 = f"""
 
 
 def _bm25(spark, d):
-    docs = table(spark, d, "documents")
-    tokens = docs.select("lang", "doc_id", F.explode_outer(T.retrieval_tokens(F.col("text"))).alias("token"))
+    """A language is a group; the query, the benchmark's tokens, is the same for all."""
+    items = table(spark, d, "documents").select("lang", "doc_id", T.retrieval_tokens(F.col("text")).alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.explode(T.retrieval_tokens(F.col("text"))).alias("token"))
-    # the query is the same for every group; a language is a group
-    groups = docs.select("lang").distinct()
-    counted = asked.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    everywhere = groups.join(counted, F.lit(True)).select("lang", F.explode(F.array_repeat("token", F.col("n").cast("int"))).alias("token"))
-    return R.bm25(tokens, everywhere, "lang", "doc_id")
+    return R.bm25(items, asked, "lang", "doc_id")
 
 
 @query(f"""
@@ -248,7 +245,7 @@ def expression_hits(spark, d):
 @query()
 def hybrid_contexts(spark, d):
     """The whole hybrid technique on the benchmark's items, with an encoder of hashed words and a base of our own."""
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("titulo"), F.array(F.substring("text", 41, 20)).alias("palavras_chave"), "text")
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("titulo"), T.keyword_list(F.col("text")).alias("palavras_chave"), "text")
     rows = S.numbered(docs, "id", "text")
     base = spark.createDataFrame([(0, "a", "The erin", "coleta", "", ["of the"], ["and"]), (1, "b", "Sich", "analise", "", ["in"], [])], "ord int, id string, termo string, eixo string, definicao string, sinais array<string>, sinonimos array<string>")
     found = R.contexts(docs, rows, base, "hibrido")
@@ -294,6 +291,103 @@ def parse_json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"), parsed.isNotNull().alias("readable"))
 
 
+#: Outputs of a model, made of the parts' names: fields as objects and as strings, evidence as lists and as strings, and all
+#: that can be wrong with them.  Spark and DuckDB read this expression alike.
+_OUTPUT = """CASE p_partkey % 16
+    WHEN 0 THEN 'Claro: {"tematica_1": {"texto": "' || p_name || '", "evidencia": ["F1", "f 02"]}, "tematica_2": "' || p_brand || '", "metodologias": [{"texto": "' || p_type || '", "evidencia": "F3"}, "Entrevista"]} fim'
+    WHEN 1 THEN '{"tematica_1": {"texto": "' || p_name || '"}, "tematica_2": {"texto": "Não informado"}, "metodologias": "' || p_type || '"}'
+    WHEN 2 THEN '{"tematica_1": {"evidencia": ["F9"]}, "tematica_2": "", "metodologias": {"texto": "' || p_type || '", "evidencia": ["F2"]}}'
+    WHEN 3 THEN '{"tematica_1": "a", "metodologias": []}'
+    WHEN 4 THEN ''
+    WHEN 5 THEN p_name
+    WHEN 6 THEN '{"tematica_1": ' || p_name || '}'
+    WHEN 7 THEN '{"tematica_1": 5, "tematica_2": "", "metodologias": []}'
+    WHEN 8 THEN '{"tematica_1": {"texto": "a", "evidencia": 5}, "tematica_2": "b", "metodologias": []}'
+    WHEN 9 THEN '{"tematica_1": "a", "tematica_2": [], "metodologias": []}'
+    WHEN 10 THEN '{"tematica_1": "a", "tematica_2": "b", "metodologias": 3}'
+    WHEN 11 THEN '{"tematica_1": "a", "tematica_2": "b", "metodologias": ["c", 3]}'
+    WHEN 12 THEN '{"tematica_1": "' || p_name || '", "tematica_2": {"texto": "b", "evidencia": "F1"}, "metodologias": ["Não informado no resumo", {"texto": "' || p_type || '", "evidencia": ["F1"]}, {"texto": "' || lower(p_type) || '.", "evidencia": ["F2", "F1"]}]}'
+    WHEN 13 THEN '{"tematica_1": "' || p_name || '", "tematica_2": "c", "metodologias": ["Não informado", "não informado no texto"]}'
+    WHEN 14 THEN '{"tematica_1": "' || p_name || '", "tematica_2": "c", "metodologias": []}'
+    ELSE '{"tematica_1": {"texto": "' || p_name || '", "evidencia": []}, "tematica_2": {"texto": "d", "evidencia": ["F2", "F2", "x"]}, "metodologias": [{"texto": "", "evidencia": ["F1"]}, {"texto": "' || p_brand || '", "evidencia": ["F8"]}]}' END"""
+
+
+def _sql_field(x: str) -> str:
+    return f"""CASE json_type({x}) WHEN 'VARCHAR' THEN {{'wrong': '', 'texto': {x} ->> '$', 'evidencia': CAST([] AS VARCHAR[])}} WHEN 'OBJECT' THEN {{
+        'wrong': CASE WHEN json_type({x}, '$.evidencia') IN ('ARRAY', 'VARCHAR') OR json_type({x}, '$.evidencia') IS NULL THEN '' ELSE '.evidencia: no list' END, 'texto': coalesce({x} ->> '$.texto', ''),
+        'evidencia': CASE json_type({x}, '$.evidencia') WHEN 'ARRAY' THEN CAST({x} ->> '$.evidencia[*]' AS VARCHAR[]) WHEN 'VARCHAR' THEN [{x} ->> '$.evidencia'] ELSE CAST([] AS VARCHAR[]) END}}
+        ELSE {{'wrong': ': no object', 'texto': '', 'evidencia': CAST([] AS VARCHAR[])}} END"""
+
+
+_READ = f"""
+    raw AS (SELECT p_partkey, {_OUTPUT} AS o FROM part),
+    body AS (SELECT p_partkey, o, regexp_extract(o, '(?s)[{{].*[}}]') AS b FROM raw),
+    data AS (SELECT p_partkey, o, b, CASE WHEN b <> '' AND json_valid(b) THEN CAST(b AS JSON) END AS j FROM body),
+    parts AS (SELECT p_partkey, o, b, j, j -> '$.tematica_1' AS t1, j -> '$.tematica_2' AS t2, CASE json_type(j, '$.metodologias') WHEN 'ARRAY' THEN CAST(j -> '$.metodologias[*]' AS JSON[]) WHEN 'VARCHAR' THEN [j -> '$.metodologias'] WHEN 'OBJECT' THEN [j -> '$.metodologias'] END AS m FROM data),
+    typed AS (SELECT *, {_sql_field('t1')} AS f1, {_sql_field('t2')} AS f2, list_transform(m, lambda x: {_sql_field('x')}) AS fm FROM parts),
+    told AS (SELECT *, list_filter(list_transform(fm, lambda f, i: CASE WHEN f.wrong <> '' THEN 'metodologias[' || (i - 1) || ']' || f.wrong END), lambda w: w IS NOT NULL) AS wrong,
+        array_to_string(list_filter([CASE WHEN t1 IS NULL THEN 'tematica_1' END, CASE WHEN t2 IS NULL THEN 'tematica_2' END, CASE WHEN json_type(j, '$.metodologias') IS NULL THEN 'metodologias' END], lambda s: s IS NOT NULL), ', ') AS absent FROM typed),
+    read AS (SELECT *, CASE WHEN trim(o) = '' THEN 'empty answer' WHEN b = '' THEN 'no JSON in the answer' WHEN j IS NULL THEN 'broken JSON' WHEN absent <> '' THEN 'lacking: ' || absent
+        WHEN f1.wrong <> '' THEN 'tematica_1' || f1.wrong WHEN f2.wrong <> '' THEN 'tematica_2' || f2.wrong WHEN m IS NULL THEN 'metodologias: no list' WHEN len(wrong) > 0 THEN wrong[1] END AS reason FROM told),
+    answers AS (SELECT p_partkey, reason, reason IS NULL AS ok,
+        CASE WHEN reason IS NULL THEN f1.texto ELSE '' END AS x1, CASE WHEN reason IS NULL THEN f1.evidencia ELSE CAST([] AS VARCHAR[]) END AS e1,
+        CASE WHEN reason IS NULL THEN f2.texto ELSE '' END AS x2, CASE WHEN reason IS NULL THEN f2.evidencia ELSE CAST([] AS VARCHAR[]) END AS e2,
+        CASE WHEN reason IS NULL THEN list_transform(fm, lambda f: {{'texto': f.texto, 'evidencia': f.evidencia}}) ELSE [{{'texto': '', 'evidencia': CAST([] AS VARCHAR[])}}] END AS ms FROM read)"""
+
+
+def _answers(spark, d):
+    return table(spark, d, "part").select("p_partkey", A.parsed(F.expr(_OUTPUT)).alias("p")).select("p_partkey", "p.*")
+
+
+@query(f"""
+    WITH {_READ}
+    SELECT p_partkey, reason, x1 AS theme_1, array_to_string(e1, ',') AS evidence_1, x2 AS theme_2, array_to_string(e2, ',') AS evidence_2,
+           array_to_string(list_transform(ms, lambda f: f.texto || '<' || array_to_string(f.evidencia, ',') || '>'), '|') AS methods FROM answers""")
+def read_answers(spark, d):
+    """Outputs of a model read into fields, or the reason why one can't be read."""
+    told = F.array_join(F.transform("metodologias", lambda f: F.concat(f["texto"], F.lit("<"), F.array_join(f["evidencia"], ","), F.lit(">"))), "|")
+    rows = _answers(spark, d)
+    return rows.select("p_partkey", "reason", F.col("tematica_1.texto").alias("theme_1"), F.array_join("tematica_1.evidencia", ",").alias("evidence_1"), F.col("tematica_2.texto").alias("theme_2"), F.array_join("tematica_2.evidencia", ",").alias("evidence_2"), told.alias("methods"))
+
+
+def _sql_ids(e: str) -> str:
+    code = r"'F' || regexp_extract(c, '[Ff]\s*0*([0-9]+)', 1)"
+    return rf"list_filter(list_transform(list_filter({e}, lambda c: regexp_matches(c, '[Ff]\s*0*[0-9]+')), lambda c: {code}), lambda c: list_contains(valid, c))"
+
+
+def _sql_first(e: str) -> str:
+    return f"list_filter({e}, lambda x, i: list_position({e}, x) = i)"
+
+
+def _sql_said(text: str) -> str:
+    return f"trim(trim(regexp_replace(strip_accents(lower({text})), '[{_SP}]+', ' ', 'g'), ' '), ' .;:,-')"
+
+
+def _sql_theme(x: str, e: str) -> str:
+    status = f"CASE WHEN NOT ok OR trim({x}) = '' OR starts_with({_sql_said(x)}, 'nao informad') THEN 'erro' WHEN len({_sql_ids(e)}) > 0 THEN 'ok' ELSE 'sem_evidencia' END"
+    return f"({status}) || ':' || CASE WHEN NOT ok OR trim({x}) = '' OR starts_with({_sql_said(x)}, 'nao informad') THEN '' ELSE array_to_string({_sql_first(_sql_ids(e))}, ',') END"
+
+
+@query(f"""
+    WITH {_READ},
+    v AS (SELECT *, list_transform(range(1, 1 + p_partkey % 4), lambda i: 'F' || i) AS valid FROM answers),
+    u AS (SELECT p_partkey, ok, valid, generate_subscripts(ms, 1) AS pos, unnest(ms) AS f FROM v),
+    c AS (SELECT p_partkey, ok, pos, starts_with({_sql_said('f.texto')}, 'nao informad') AS silent, trim(f.texto) AS texto, {_sql_first(_sql_ids('f.evidencia'))} AS ids FROM u),
+    k AS (SELECT p_partkey, pos, texto, ids, CASE WHEN len(ids) > 0 THEN 'ok' ELSE 'sem_evidencia' END AS status, {_sql_said('texto')} AS key FROM c WHERE ok AND NOT silent AND texto <> ''),
+    g AS (SELECT p_partkey, key, min(pos) AS pos, min_by(texto, pos) AS texto, min_by(status, pos) AS status, flatten(list(ids ORDER BY pos)) AS ids FROM k GROUP BY ALL),
+    m AS (SELECT p_partkey, pos, texto, {_sql_first('ids')} AS ids, CASE WHEN len(ids) > 0 THEN 'ok' ELSE status END AS status FROM g),
+    l AS (SELECT p_partkey, string_agg(texto || '<' || status || ':' || array_to_string(ids, ',') || '>', '|' ORDER BY pos) AS methods FROM m GROUP BY p_partkey)
+    SELECT p_partkey, {_sql_theme('x1', 'e1')} AS theme_1, {_sql_theme('x2', 'e2')} AS theme_2,
+           CASE WHEN ok THEN coalesce(methods, 'Não informado no resumo<nao_informado:>') ELSE '<erro:>' END AS methods FROM v LEFT JOIN l USING (p_partkey)""")
+def check_answers(spark, d):
+    """Answers checked against the sentences there are (here: none to three): themes, methods and their merge."""
+    valid = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: (i > 0) & (i <= F.col("p_partkey") % 4)), lambda i: F.concat(F.lit("F"), i.cast("string")))
+    done = A.validated(_answers(spark, d).drop("reason").withColumn("valid", valid), ["p_partkey"])
+    cited = lambda f: F.concat(f["status"], F.lit(":"), F.array_join(f["evidencia"], ","))
+    told = F.array_join(F.transform("metodologias", lambda f: F.concat(f["texto"], F.lit("<"), cited(f), F.lit(">"))), "|")
+    return done.select("p_partkey", *(cited(F.col(f"tematica_{i}")).alias(f"theme_{i}") for i in (1, 2)), told.alias("methods"))
+
+
 # Vocabulary ------------------------------------------------------------------------------------------------------------
 _ENTRIES = [
     (0, "brass", "coleta", ["BRASS", "Brass (plated)"]), (1, "steel", "coleta", ["steel", "polished steels"]), (2, "copper", "analise", ["Copper"]),
@@ -343,6 +437,34 @@ def contained_terms(spark, d):
     return VO.contained(rows, _known(spark), "p_partkey").select("p_partkey", "id", "eixo")
 
 
+@query(f"""
+    WITH {_VOCABULARY},
+    terms AS (SELECT DISTINCT p_type AS termo FROM part),
+    hit AS (SELECT termo, id, eixo FROM terms JOIN known ON key = {_sql_key('termo')}),
+    spelled AS (SELECT id, ord, eixo, list_distinct(list_transform(string_split(lower(forma), ' '), lambda w: {_sql_singular('w')})) AS words FROM known),
+    alls AS (SELECT termo, list_distinct(list_transform(string_split(lower(termo), ' '), lambda w: {_sql_singular('w')})) AS words FROM terms WHERE termo NOT IN (SELECT termo FROM hit)),
+    met AS (SELECT termo, id, eixo, spelled.words, row_number() OVER (PARTITION BY termo, id ORDER BY len(spelled.words) DESC, ord) AS n FROM alls JOIN spelled ON list_has_all(alls.words, spelled.words)),
+    best AS (SELECT * FROM met WHERE n = 1),
+    inside AS (SELECT termo, id, eixo FROM best a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.termo = a.termo AND b.id <> a.id AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))),
+    linked AS (SELECT * FROM hit UNION ALL SELECT * FROM inside UNION ALL SELECT termo, 'livre:' || {_sql_key('termo')}, NULL FROM alls WHERE termo NOT IN (SELECT termo FROM inside))
+    SELECT p_partkey, termo, id, eixo FROM part JOIN linked ON termo = p_type""")
+def link_all_terms(spark, d):
+    """Whole types of parts, linked by key, else by the entries whose words they hold, else free."""
+    terms = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("termo"))
+    return VO.linked(terms, _known(spark), "p_partkey").select("p_partkey", "termo", "id", "eixo")
+
+
+@query(r"""
+    WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' (' || p_brand || ')' WHEN 1 THEN ', segundo ' || p_brand WHEN 2 THEN ' de Minas Gerais' ELSE ' de natureza ' || p_type END AS termo FROM part)
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN replace(termo, ' de natureza ', '') ELSE regexp_replace(termo, ' \(.*|, segundo .*| de Minas Gerais$', '') END AS shortest, CAST(2 AS INTEGER) AS forms FROM t""")
+def cut_forms(spark, d):
+    """The forms of a term: without parentheses, without what qualifies it, without a place, without filling words."""
+    n, more = F.col("p_partkey") % 4, F.col("p_brand")
+    end = F.when(n == 0, F.concat(F.lit(" ("), more, F.lit(")"))).when(n == 1, F.concat(F.lit(", segundo "), more)).when(n == 2, " de Minas Gerais").otherwise(F.concat(F.lit(" de natureza "), "p_type"))
+    forms = T.term_forms(F.concat("p_name", end))
+    return table(spark, d, "part").select("p_partkey", F.element_at(forms, -1).alias("shortest"), F.size(forms).alias("forms"))
+
+
 @query()
 def split_terms(spark, d):
     """Terms of texts that join several with commas, "e" and semicolons."""
@@ -352,8 +474,11 @@ def split_terms(spark, d):
 
 
 # Scores ----------------------------------------------------------------------------------------------------------------
-_PREDICTED = f"p AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest({_sql_tokens('substr(text, 1, 400)')}) AS term FROM documents))"
-_REFERENCE = f"r AS (SELECT DISTINCT doc_id, lang, term, term < 'n' AS mandatory FROM (SELECT doc_id, lang, unnest({_sql_tokens('substr(text, 201, 400)')}) AS term FROM documents))"
+_ITEMS = 20  # documents of one remainder share a benchmark item as their reference
+_PREDICTED = f"p AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest({_sql_tokens('text')}) AS term FROM documents))"
+_REFERENCE = f"""
+    i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_sql_tokens('text')}) AS term FROM benchmark)),
+    r AS (SELECT DISTINCT doc_id, lang, term, term < 'n' AS mandatory FROM documents JOIN i ON item_id = doc_id % {_ITEMS})"""
 _BOARD = f"""{_PREDICTED}, {_REFERENCE},
     met AS (SELECT coalesce(p.doc_id, r.doc_id) AS doc_id, coalesce(p.lang, r.lang) AS lang, p.term IS NOT NULL AS said, r.mandatory FROM p FULL JOIN r ON p.doc_id = r.doc_id AND p.term = r.term),
     n AS (SELECT doc_id, lang, count(*) FILTER (said) AS predicted, count(*) FILTER (mandatory) AS expected, count(*) FILTER (said AND mandatory IS NOT NULL) AS hits_p, count(*) FILTER (said AND mandatory) AS hits_r FROM met GROUP BY ALL),
@@ -363,9 +488,11 @@ _BOARD = f"""{_PREDICTED}, {_REFERENCE},
 
 
 def _sets(spark, d):
+    """The tokens of whole documents against those of whole benchmark items, half of them mandatory."""
     docs = table(spark, d, "documents")
-    said = docs.select("doc_id", "lang", F.explode(T.retrieval_tokens(F.substring("text", 1, 400))).alias("term")).distinct()
-    known = docs.select("doc_id", "lang", F.explode(T.retrieval_tokens(F.substring("text", 201, 400))).alias("term")).distinct()
+    said = docs.select("doc_id", "lang", F.explode(F.array_distinct(T.retrieval_tokens(F.col("text")))).alias("term")).distinct()
+    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.retrieval_tokens(F.col("text")))).alias("term")).distinct()
+    known = docs.select("doc_id", "lang", (F.col("doc_id") % _ITEMS).alias("item_id")).join(items, "item_id").select("doc_id", "lang", "term")
     return docs.select("doc_id", "lang"), said, known.withColumn("mandatory", F.col("term") < "n")
 
 
@@ -376,7 +503,6 @@ def _board(spark, d):
 
 @query(f"WITH {_BOARD} SELECT doc_id, lang, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, hits_p, predicted, hits_r, expected FROM b")
 def prf_by_doc(spark, d):
-    """Tokens of a text's first 400 characters against those of characters 201 to 600, half of them mandatory."""
     b = _board(spark, d)
     return b.select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "hits_p", "predicted", "hits_r", "expected")
 
@@ -418,25 +544,25 @@ def missing_extra(spark, d):
     return found.select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
-@query(f"""
-    WITH s AS (SELECT doc_id, source, list_distinct({_sql_tokens('substr(text, 1, 300)')}) AS t FROM documents WHERE doc_id % 10 = 0)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS jaccard
-    FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id""")
+_ANSWERS = 8  # consecutive documents are so many runs' answers to one document
+_JACCARD = "CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END"
+_RUNS = f"s AS (SELECT doc_id, doc_id // {_ANSWERS} AS answered, list_distinct({_sql_tokens('text')}) AS t FROM documents)"
+
+
+def _runs(spark, d):
+    sets = table(spark, d, "documents").select("doc_id", F.expr(f"doc_id div {_ANSWERS}").alias("answered"), F.array_distinct(T.retrieval_tokens(F.col("text"))).alias("t"))
+    return M.agreement(sets, "doc_id", "answered", "t")
+
+
+@query(f"WITH {_RUNS} SELECT a.doc_id AS a, b.doc_id AS b, round({_JACCARD}, 6) AS jaccard FROM s a JOIN s b ON a.answered = b.answered AND a.doc_id < b.doc_id")
 def jaccard_pairs(spark, d):
-    """Every tenth document is a run's answer to its source: all pairs of runs that answered the same."""
-    docs = table(spark, d, "documents").where("doc_id % 10 = 0")
-    sets = docs.select("doc_id", "source", F.array_distinct(T.retrieval_tokens(F.substring("text", 1, 300))).alias("t"))
-    return M.agreement(sets, "doc_id", "source", "t").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """All pairs of runs that answered the same document, by the tokens of whole texts."""
+    return _runs(spark, d).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(f"""
-    WITH s AS (SELECT doc_id, source, list_distinct({_sql_tokens('substr(text, 1, 300)')}) AS t FROM documents WHERE doc_id % 10 = 0),
-    j AS (SELECT a.source, CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS j FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id)
-    SELECT source, round(avg(j), 6) AS mean_jaccard, count(*) AS pairs FROM j GROUP BY source""")
+@query(f"WITH {_RUNS}, j AS (SELECT a.answered, {_JACCARD} AS j FROM s a JOIN s b ON a.answered = b.answered AND a.doc_id < b.doc_id) SELECT answered, round(avg(j), 6) AS mean_jaccard, count(*) AS pairs FROM j GROUP BY answered")
 def agreement_by_document(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 10 = 0")
-    sets = docs.select("doc_id", "source", F.array_distinct(T.retrieval_tokens(F.substring("text", 1, 300))).alias("t"))
-    return M.agreement(sets, "doc_id", "source", "t").groupBy("source").agg(F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.count(F.lit(1)).alias("pairs"))
+    return _runs(spark, d).groupBy("answered").agg(F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.count(F.lit(1)).alias("pairs"))
 
 
 _DOT = "coalesce(list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 0)"

@@ -32,6 +32,28 @@ def test_readable():
     assert len(A.read_output(json.dumps(GOOD | {"metodologias": "Entrevista"}))["metodologias"]) == 1
 
 
+OUTPUTS = [
+    None, "", "  \n", "nada", '{"a": ', '{"a": }', "}{", "[]", "{}", '{"tematica_1": ""}', json.dumps(GOOD), "x " + json.dumps(GOOD) + " y", json.dumps(GOOD | {"tematica_1": 1}), json.dumps(GOOD | {"tematica_2": None}),
+    json.dumps(GOOD | {"tematica_2": {}}), json.dumps(GOOD | {"tematica_2": {"texto": None, "evidencia": []}}), json.dumps(GOOD | {"tematica_2": {"texto": "a", "evidencia": 3}}), json.dumps(GOOD | {"tematica_2": {"evidencia": ["F1", 2]}}),
+    json.dumps(GOOD | {"metodologias": "só"}), json.dumps(GOOD | {"metodologias": {"texto": "só", "evidencia": "F1"}}), json.dumps(GOOD | {"metodologias": 3}), json.dumps(GOOD | {"metodologias": []}), json.dumps(GOOD | {"metodologias": ["a", 3]}),
+    json.dumps(GOOD | {"metodologias": ["a", {"texto": "b", "evidencia": {}}]}), json.dumps(GOOD | {"metodologias": None}), json.dumps(GOOD | {"tematica_1": ["x"]}),
+]
+
+
+def test_both_readers_agree(spark):
+    """The reader of columns gives what the reader of one output gives, or the same kind of reason."""
+    rows = spark.createDataFrame(list(enumerate(OUTPUTS)), "i int, raw string")
+    got = {r["i"]: r["p"] for r in rows.select("i", A.parsed(F.col("raw")).alias("p")).collect()}
+    for i, text in enumerate(OUTPUTS):
+        p = got[i].asDict(recursive=True)
+        try:
+            assert (p.pop("reason"), p) == (None, A.read_output(text))
+        except A.Unreadable as e:
+            p = got[i].asDict(recursive=True)
+            assert p.pop("reason").split(" (")[0] == str(e).split(" (")[0], text
+            assert p == A.failed()
+
+
 def test_second_attempt_and_failure():
     said = iter(["oops", json.dumps(GOOD)])
     seen = []

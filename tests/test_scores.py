@@ -93,10 +93,11 @@ def test_bm25_against_plain_python(spark):
     mean = sum(idf.values()) / len(idf)
     idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
     want = [sum(idf[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in query if w in d) for d in docs]
-    rows = spark.createDataFrame([("g", i, w) for i, s in enumerate(sentences) for w in (s or [None])], "g string, i int, token string")
+    rows = spark.createDataFrame([("g", i, s) for i, s in enumerate(sentences)], "g string, i int, tokens array<string>")
     asked = spark.createDataFrame([("g", w) for w in query], "g string, token string")
-    got = {r["i"]: r["score"] for r in R.bm25(rows, asked, "g", "i").collect()}
-    assert [got[i] for i in range(4)] == pytest.approx(want)
+    for one in (asked, asked.select("token")):
+        got = {r["i"]: r["score"] for r in R.bm25(rows, one, "g", "i").collect()}
+        assert [got[i] for i in range(4)] == pytest.approx(want)
 
 
 def test_contexts_keep_to_their_document(spark):

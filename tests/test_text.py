@@ -72,3 +72,20 @@ def test_sentences_lose_nothing(spark):
     docs = spark.createDataFrame([(1, "Um. Dois."), (2, None), (3, "")], "id int, text string")
     assert [tuple(r) for r in S.numbered(docs, "id", "text").collect()] == [(1, 1, "F1", "Um."), (1, 2, "F2", "Dois.")]
     assert S.gathered(S.numbered(docs, "id", "text"), "id").first()["frases"][1]["texto"] == "Dois."
+
+
+def test_forms_without_python_are_the_same(spark):
+    """Texts that Spark folds itself, and those that go to Python, against the standard library."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+    from tesserine.functions import text as T
+
+    texts = [None, "", "plain", "Ação çÉ", "ǅ x", "e\u0301a", "İstanbul", "ﬁ ½", "“aspas” – …", "日本 é", "\u212b", "ŉ ĳ ß ø Đ", "".join(map(chr, range(0x20, 0x250))), "".join(map(chr, range(0x2000, 0x2060)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("t", T.sparing_form(F.col("t"), "NFC").alias("c"), T.sparing_form(F.lower("t"), "NFD").alias("d"), F.lower("t").alias("low")).collect():
+        if r["t"] is None:
+            assert (r["c"], r["d"]) == (None, None)
+            continue
+        assert r["c"] == unicodedata.normalize("NFC", r["t"])
+        assert r["d"] == "".join(c for c in unicodedata.normalize("NFD", r["low"]) if unicodedata.category(c) != "Mn")
