@@ -47,8 +47,12 @@ def unescaped(text: str) -> str:
     return html.unescape(LONG_NUMBER.sub("�", text.replace("&nbsp;", " "))) if "&" in text else text
 
 
+#: White space to be made one space (a single space is left as it is), and line ends to be made one.
+WIDE, LINES = re.compile(r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+"), re.compile(r" \n[ \n]*|\n[ \n]+")
+
+
 def tidy(text: str) -> str:
-    return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", text)).strip(" \n")
+    return LINES.sub("\n", WIDE.sub(" ", text)).strip(" \n")
 
 
 def read_html(page: str) -> tuple[str, str, str]:
