@@ -182,21 +182,38 @@ def contexts(
         tokens = sentences.select(key, "pos", T.retrieval_tokens(F.col("texto")).alias("tokens"))
         own = docs.select(key, F.explode(T.retrieval_tokens(F.concat_ws(" ", "titulo", F.array_join("palavras_chave", " ")))).alias("token"))
         base = entries.select(F.explode(F.concat(F.array("termo"), "sinonimos", "sinais")).alias("e")).select(F.explode(T.retrieval_tokens(F.col("e"))).alias("token")).distinct()
-        for name, query in (("theme_score", own), ("method_score", base)):
-            lexical = ranks(bm25(tokens, query, key, "pos"), key, "score", "pos", positive=True)
-            total = fused(ranks(scored, key, name, "pos"), lexical, key, "pos").withColumnRenamed("score", "__f")
-            scored = scored.join(total, [key, "pos"]).drop(name).withColumnRenamed("__f", name)
-    themes, methods = top(scored, key, "theme_score", "pos", k), top(scored, key, "method_score", "pos", k)
+        for name, query in (("theme", own), ("method", base)):
+            scored = scored.join(bm25(tokens, query, key, "pos").withColumnRenamed("score", f"{name}_words"), [key, "pos"], "left")
+        scored = scored.withColumns({f"{name}_score": fused_in_place(f"{name}_score", f"{name}_words", key, "pos") for name in ("theme", "method")})
+    place = lambda c: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(c), F.asc("pos")))
+    chosen = scored.withColumns({"theme_rank": place("theme_score"), "method_rank": place("method_score")}).where((F.col("theme_rank") <= k) | (F.col("method_rank") <= k))
+    methods = chosen.where(F.col("method_rank") <= k).withColumnRenamed("method_rank", "rank")
     near = entry_similarity(methods, entries, key)
     if technique == "hibrido":
-        near = fused(ranks(near, key, "score", "ord"), ranks(literal_hits(methods, entries, key), key, "score", "ord", positive=True), key, "ord")
+        # every entry has a similarity, so the entries with points are among them
+        points = literal_hits(methods, entries, key).withColumnRenamed("score", "points")
+        near = near.join(points, [key, "ord"], "left").select(key, "ord", fused_in_place("score", "points", key, "ord").alias("score"))
     best = top(near, key, "score", "ord", k_entries).join(sent_along(entries.select("ord", "id")).withColumnRenamed("id", "__id"), "ord")
     listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "__id"))).alias("v")).select(key, F.transform("v", lambda v: v["__id"]).alias("verbetes"))
-    found = packed(themes.withColumnRenamed("theme_score", "score"), key, "frases_tematicas").join(packed(methods.withColumnRenamed("method_score", "score"), key, "frases_metodologia"), key)
+    found = chosen.groupBy(key).agg(*(in_order(f"{n}_rank", f"{n}_score", k).alias(c) for n, c in (("theme", "frases_tematicas"), ("method", "frases_metodologia"))))
     return found.join(listed, key, "left").select(key, F.lit(technique).alias("tecnica"), "frases_tematicas", "frases_metodologia", F.coalesce("verbetes", F.array().cast("array<string>")).alias("verbetes"))
 
 
+def fused_in_place(first: str, second: str, group: str, position: str, k: int = RRF_K) -> Column:
+    """``fused`` of two scores of one row: every row has the first, those with a positive second one get its share too.
+
+    Positive scores stand first in their order, so the ranks are those of ``ranks``, and one sorted shuffle by group gives both.
+    """
+    share = lambda c: F.lit(1.0) / (F.lit(float(k)) + F.row_number().over(Window.partitionBy(group).orderBy(F.desc(c), F.asc(position))))
+    return share(first) + F.when(F.col(second) > 0, share(second)).otherwise(0.0)
+
+
+def in_order(rank: str, score: str, k: int) -> Column:
+    """The sentences of rank ``k`` and better as one array; scores rounded to 4 digits for output alone."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(rank) <= k, F.struct(F.col(rank).alias("rank"), "frase_id", "texto", F.bround(score, 4).alias("score")))))
+    return F.transform(rows, lambda r: F.struct(r["frase_id"].alias("frase_id"), r["texto"].alias("texto"), r["score"].alias("score")))
+
+
 def packed(ranked: DataFrame, key: str, name: str) -> DataFrame:
-    """The ranked sentences of a document as one array; scores rounded to 4 digits for output alone."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "frase_id", "texto", F.bround("score", 4).alias("score"))))
-    return ranked.groupBy(key).agg(rows.alias("__r")).select(key, F.transform("__r", lambda r: F.struct(r["frase_id"].alias("frase_id"), r["texto"].alias("texto"), r["score"].alias("score"))).alias(name))
+    """All ranked sentences of a document as one array."""
+    return ranked.groupBy(key).agg(in_order("rank", "score", 2**31 - 1).alias(name))

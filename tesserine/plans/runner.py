@@ -62,12 +62,14 @@ def execute(docs: DataFrame, sentences: DataFrame, entries: DataFrame, model: st
     if rest.take(1):
         checked_client(make_client)
         own = sentences.join(rest.select(key), key, "left_semi")
-        asked = prompts(rest, R.contexts(rest, own, entries, technique, encoder, key), entries, prompt_version, key)
-        found = A.generated(asked.select(key, "prompt"), make_client, [key])
-        # the model's answers are written before anything else reads them
-        raw = f"{out}_raw/{hashlib.sha256(f'{model}|{technique}|{prompt_version}'.encode()).hexdigest()[:16]}"
-        found.write.mode("overwrite").parquet(raw)
-        checked = A.validated(spark.read.parquet(raw).join(asked.select(key, F.col("shown").alias("valid")), key), [key]).drop("valid")
+        # prompts, then the model's answers, are written before anything else reads them: retrieval runs once, and no model
+        # is asked again because an executor was lost
+        of_run = hashlib.sha256(f"{model}|{technique}|{prompt_version}".encode()).hexdigest()[:16]
+        asked, raw = f"{out}_asked/{of_run}", f"{out}_raw/{of_run}"
+        prompts(rest, R.contexts(rest, own, entries, technique, encoder, key), entries, prompt_version, key).write.mode("overwrite").parquet(asked)
+        A.generated(spark.read.parquet(asked).select(key, "prompt"), make_client, [key]).write.mode("overwrite").parquet(raw)
+        shown = spark.read.parquet(asked).select(key, F.col("shown").alias("valid"))
+        checked = A.validated(spark.read.parquet(raw).join(shown, key), [key]).drop("valid")
         checked.withColumns({"modelo": F.lit(model), "tecnica": F.lit(technique), "versao_prompt": F.lit(prompt_version)}).write.mode("append").parquet(out)
     return spark.read.parquet(out).where((F.col("modelo") == model) & (F.col("tecnica") == technique) & (F.col("versao_prompt") == prompt_version))
 

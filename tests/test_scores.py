@@ -170,3 +170,13 @@ def test_split_terms(spark):
     fields = spark.createDataFrame([("r", "d", 0, "Entrevista e Pesquisa documental", "ok"), ("r", "d", 1, "Não informado no resumo", "nao_informado"), ("r", "d", 2, "x", "erro")], "run string, doc string, pos int, texto string, status string")
     got = VO.methods_of_answers(fields, known, keys, ["run", "doc"])
     assert {(r["id"], r["eixo"]) for r in got.collect()} == {("entrevista", "coleta"), ("documental", "procedimento")}
+
+
+def test_fused_in_place(spark):
+    from tesserine.operators import retrieval as R
+
+    rows = [(g, p, (p * 7 + g) % 5 / 4 - 0.5, None if p % 4 == 0 else (p * 3 + g) % 6 / 3 - 0.5) for g in (1, 2) for p in range(23)]
+    df = spark.createDataFrame(rows, "g int, p int, a double, b double")
+    plain = R.fused(R.ranks(df, "g", "a", "p"), R.ranks(df, "g", "b", "p", positive=True), "g", "p")
+    placed = df.select("g", "p", R.fused_in_place("a", "b", "g", "p").alias("score"))
+    assert {tuple(r) for r in placed.collect()} == {tuple(r) for r in plain.collect()}
