@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,25 @@ def sheets(docs: DataFrame, answers: DataFrame, sentences: DataFrame, key: str =
     return first, second
 
 
+def write_run(docs: DataFrame, answers: DataFrame, facts: DataFrame, folder: str, key: str = "id") -> None:
+    """A run's files as people and ``sources.runs`` read them: ``respostas.json`` in the corpus's order, and ``execucao.json``.
+
+    Both are written on the driver's disk line by line, as rows arrive; a run of many documents is read as Parquet instead.
+    """
+    rows = docs.select(key, "pos").join(answers, key).orderBy("pos").select(F.col(key).alias("dissertacao_id"), "tematica_1", "tematica_2", "metodologias", "modelo", "versao_prompt", "tecnica", "saida_bruta", "segundos", "tentativas")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    told: dict[str, Any] = {**{r["campo"]: r["valor"] for r in facts.collect()}, "segundos": {}, "tentativas": {}}
+    with open(f"{folder}/respostas.json", "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, row in enumerate(rows.toLocalIterator()):
+            answer = row.asDict(recursive=True)
+            for name in ("segundos", "tentativas"):
+                told[name][answer["dissertacao_id"]] = answer.pop(name)
+            out.write((",\n" if i else "\n") + json.dumps(answer, ensure_ascii=False))
+        out.write("\n]\n")
+    Path(f"{folder}/execucao.json").write_text(json.dumps(told, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
 def run_sheet(facts: DataFrame, answers: DataFrame) -> DataFrame:
     """``campo, valor``: provenance, and what the answers' times and attempts come to."""
     sums = answers.agg(F.avg("segundos").alias("mean"), F.sum("segundos").alias("total"), F.count_if(F.col("tentativas") > 1).alias("again"), F.count("segundos").alias("n")).where("n > 0")

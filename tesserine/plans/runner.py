@@ -8,6 +8,7 @@ import sys
 from collections.abc import Callable, Iterable
 from importlib.metadata import PackageNotFoundError, version
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +50,24 @@ def prompts(docs: DataFrame, contexts: DataFrame, entries: DataFrame, prompt_ver
     return rows.select(key, "tecnica", text.alias("prompt"), shown.alias("shown"))
 
 
-def execute(docs: DataFrame, sentences: DataFrame, entries: DataFrame, model: str, technique: str, prompt_version: str, make_client: Callable[[], A.Client], out: str, encoder=None, key: str = "id") -> DataFrame:
-    """Answer what is pending and append it to ``out`` (Parquet); a complete run writes nothing.  Returns all its answers."""
-    spark = docs.sparkSession
+def stored(spark: SparkSession, out: str, model: str, technique: str, prompt_version: str) -> DataFrame | None:
+    """A run's answers as far as they are written; none where there is nothing yet."""
     try:
-        done = spark.read.parquet(out).where((F.col("modelo") == model) & (F.col("tecnica") == technique) & (F.col("versao_prompt") == prompt_version))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        answers = spark.read.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        done = None
+        return None
+    return answers.where((F.col("modelo") == model) & (F.col("tecnica") == technique) & (F.col("versao_prompt") == prompt_version))
+
+
+def execute(docs: DataFrame, sentences: DataFrame, entries: DataFrame, model: str, technique: str, prompt_version: str, make_client: Callable[[], A.Client], out: str, encoder=None, key: str = "id", fresh: bool = False) -> DataFrame:
+    """Answer what is pending and append it to ``out`` (Parquet); a complete run writes nothing.  Returns all its answers.
+
+    ``fresh`` answers all documents again, in place of everything that ``out`` holds.
+    """
+    spark = docs.sparkSession
+    done = None if fresh else stored(spark, out, model, technique, prompt_version)
     rest = pending(docs, done, [key])
     if rest.take(1):
         checked_client(make_client)
@@ -70,8 +80,8 @@ def execute(docs: DataFrame, sentences: DataFrame, entries: DataFrame, model: st
         A.generated(spark.read.parquet(asked).select(key, "prompt"), make_client, [key]).write.mode("overwrite").parquet(raw)
         shown = spark.read.parquet(asked).select(key, F.col("shown").alias("valid"))
         checked = A.validated(spark.read.parquet(raw).join(shown, key), [key]).drop("valid")
-        checked.withColumns({"modelo": F.lit(model), "tecnica": F.lit(technique), "versao_prompt": F.lit(prompt_version)}).write.mode("append").parquet(out)
-    return spark.read.parquet(out).where((F.col("modelo") == model) & (F.col("tecnica") == technique) & (F.col("versao_prompt") == prompt_version))
+        checked.withColumns({"modelo": F.lit(model), "tecnica": F.lit(technique), "versao_prompt": F.lit(prompt_version)}).write.mode("overwrite" if fresh else "append").parquet(out)
+    return stored(spark, out, model, technique, prompt_version)
 
 
 def provenance(spark: SparkSession, model: str, technique: str, prompt_version: str, **more: str) -> DataFrame:
