@@ -15,6 +15,7 @@ from tesserine.operators import statistics as ST
 from tesserine.operators import validation as V
 from tesserine.operators import vocabulary as VO
 from tesserine.plans import answers as A
+from tesserine.plans import report as RE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -700,3 +701,85 @@ def comparison_table(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10")
 def offered_histogram(spark, d):
     return M.histogram(table(spark, d, "events"), "event_type")
+
+
+# Evaluation of runs ----------------------------------------------------------------------------------------------------
+# A part is an answer of its brand's run to the document of its size: each word of its name and type is an item of methods, and every
+# eleventh answer failed.  The reference has documents 1 to 45.
+_STORED = f"""{_VOCABULARY},
+    a AS (SELECT p_brand AS execucao, p_partkey, p_size AS d, p_partkey % 11 = 0 AS failed, p_name, p_brand, CASE p_partkey % 6 WHEN 0 THEN 'sem_evidencia' WHEN 1 THEN 'nao_informado' ELSE 'ok' END AS second, string_split(p_name || ' ' || p_type, ' ') AS items FROM part),
+    w AS (SELECT execucao, p_partkey, d, unnest(items) AS t FROM a WHERE NOT failed),
+    named AS (SELECT execucao, p_partkey, d, id, eixo, t FROM (SELECT w.*, coalesce(id, 'livre:' || {_sql_key('t')}) AS id, eixo FROM w LEFT JOIN known ON key = {_sql_key('t')})),
+    said AS (SELECT DISTINCT execucao, p_partkey, d, id, eixo FROM named)"""
+
+
+def _stored(spark, d):
+    """Answers as they are stored, with times and attempts, and the vocabulary."""
+    parts = table(spark, d, "part")
+    failed = F.col("p_partkey") % 11 == 0
+    field = lambda text, status: V.field(text, F.array(), F.when(failed, V.ERROR).otherwise(status))
+    second = F.when(F.col("p_partkey") % 6 == 0, V.NO_EVIDENCE).when(F.col("p_partkey") % 6 == 1, V.SILENT).otherwise(V.OK)
+    answers = parts.select(
+        F.col("p_brand").alias("execucao"), F.col("p_partkey").alias("pos"), F.col("p_size").cast("string").alias("dissertacao_id"),
+        field(F.col("p_name"), F.lit(V.OK)).alias("tematica_1"), field(F.col("p_brand"), second).alias("tematica_2"),
+        F.transform(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), lambda t: field(t, F.lit(V.OK))).alias("metodologias"),
+    )
+    # a run's times and attempts are one map a run in its file, as many as it has answers
+    timed = F.collect_list(F.struct(F.col("p_partkey").cast("string"), (F.col("p_size") / 4).alias("s")))
+    tried = F.collect_list(F.struct(F.col("p_partkey").cast("string"), (F.col("p_partkey") % 2 + 1).cast("int").alias("n")))
+    runs = parts.groupBy(F.col("p_brand").alias("execucao")).agg(F.map_from_entries(timed).alias("segundos"), F.map_from_entries(tried).alias("tentativas"))
+    return answers, runs, _known(spark)
+
+
+@query(f"""
+    WITH {_STORED},
+    o AS (SELECT execucao, count(*) AS n, count_if(failed) AS failed, count_if(NOT failed AND second = 'sem_evidencia') AS unproved, count_if(NOT failed AND second = 'nao_informado') AS silent, sum(len(items) + 2) AS fields,
+        sum(CASE WHEN failed THEN len(items) + 2 ELSE 0 END) AS failed_fields, avg(CASE WHEN failed THEN 0 ELSE len(string_split(p_name, ' ')) + len(string_split(p_brand, ' ')) END) / 2 AS words FROM a GROUP BY 1),
+    t AS (SELECT p_brand AS execucao, avg(p_size / 4) AS mean_s, median(p_size / 4) AS median_s, count_if(p_partkey % 2 = 1) AS again FROM part GROUP BY 1),
+    m AS (SELECT execucao, count(*) AS methods, array_to_string(list_sort(list(DISTINCT id) FILTER (eixo IS NULL)), ',') AS free FROM said GROUP BY 1),
+    i AS (SELECT execucao, count(*) AS items, avg(CASE WHEN starts_with(id, 'livre:') THEN 0 ELSE 1 END) AS exact FROM named GROUP BY 1),
+    c AS (SELECT a.execucao, a.p_partkey, count(DISTINCT eixo) AS axes FROM a LEFT JOIN said ON said.p_partkey = a.p_partkey AND eixo IN ({_words(M.COVERED_AXES)}) WHERE NOT failed GROUP BY 1, 2),
+    x AS (SELECT execucao, avg(axes) AS axes FROM c GROUP BY 1)
+    SELECT execucao, n, failed AS documents_failed, unproved AS documents_unproved, silent AS documents_silent, CAST(fields - failed_fields - unproved - silent AS BIGINT) AS fields_ok, CAST(failed_fields AS BIGINT) AS fields_failed,
+        round(mean_s, 6) AS mean_s, median_s, again AS second_attempts, round(methods / n, 6) AS methods_per_answer, items, round(exact, 6) AS exact_items, round(words, 6) AS words_per_theme, round(axes, 6) AS axes, free
+    FROM o JOIN t USING (execucao) JOIN m USING (execucao) JOIN i USING (execucao) JOIN x USING (execucao)""")
+def run_indicators(spark, d):
+    answers, runs, known = _stored(spark, d)
+    keys = RE.keys_of(known)
+    told = RE.indicators(answers, runs, RE.methods(answers, known, keys), RE.written_items(answers, known, keys))
+    status = lambda of, s: F.col(f"status.{of}")[s]
+    return told.select(
+        "execucao", F.col("dissertacoes").alias("n"), status("por_dissertacao", V.ERROR).alias("documents_failed"), status("por_dissertacao", V.NO_EVIDENCE).alias("documents_unproved"),
+        status("por_dissertacao", V.SILENT).alias("documents_silent"), status("por_campo", V.OK).alias("fields_ok"), status("por_campo", V.ERROR).alias("fields_failed"),
+        F.round("tempo.medio_s", 6).alias("mean_s"), F.col("tempo.mediano_s").alias("median_s"), F.col("tentativas")["2"].alias("second_attempts"), F.round("metodologias_por_resposta", 6).alias("methods_per_answer"),
+        F.col("formato_metodologias.itens").alias("items"), F.round("formato_metodologias.itens_exatos", 6).alias("exact_items"), F.round("palavras_por_tematica", 6).alias("words_per_theme"),
+        F.round("eixos_cobertos_medio", 6).alias("axes"), F.array_join("termos_livres", ",").alias("free"),
+    )
+
+
+_WANTED = [("blue", "abordagem", 2, True), ("livre:large", None, 3, True), ("livre:red", None, 5, False), ("tin", "analise", 7, True)]
+
+
+@query(f"""
+    WITH {_STORED},
+    k(id, every, mandatory) AS (VALUES {', '.join(f"('{i}', {n}, {m})" for i, _, n, m in _WANTED)}),
+    ref AS (SELECT d, id, mandatory FROM range(1, 46) r(d) JOIN k ON d % every = 0),
+    e AS (SELECT a.execucao, a.p_partkey, a.d, (SELECT count(*) FROM ref WHERE ref.d = a.d AND mandatory) AS expected FROM a WHERE d <= 45),
+    h AS (SELECT p_partkey, count(*) AS predicted, count(mandatory) AS hits_p, count_if(mandatory) AS hits_r FROM said LEFT JOIN ref ON ref.d = said.d AND ref.id = said.id GROUP BY 1),
+    b AS (SELECT execucao, expected, coalesce(predicted, 0) AS predicted, coalesce(hits_p, 0) AS hits_p, coalesce(hits_r, 0) AS hits_r FROM e LEFT JOIN h USING (p_partkey)),
+    s AS (SELECT *, CASE WHEN predicted = 0 THEN CASE WHEN expected = 0 THEN 1.0 ELSE 0.0 END ELSE hits_p / predicted END AS p,
+        CASE WHEN predicted = 0 THEN CASE WHEN expected = 0 THEN 1.0 ELSE 0.0 END WHEN expected = 0 THEN 1.0 ELSE hits_r / expected END AS r,
+        CASE WHEN predicted = 0 THEN CASE WHEN expected = 0 THEN 1.0 ELSE 0.0 END ELSE round(hits_r / predicted, 4) END AS strict FROM b)
+    SELECT execucao, count(*) AS n, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1,
+        round(sum(hits_p) / sum(predicted), 6) AS micro_precision, round(sum(hits_r) / sum(expected), 6) AS micro_recall, round(avg(strict), 6) AS strict_precision FROM s GROUP BY 1""")
+def run_scores(spark, d):
+    answers, _, known = _stored(spark, d)
+    docs = spark.range(1, 46)
+    terms = docs.crossJoin(F.broadcast(spark.createDataFrame(_WANTED, "id string, eixo string, every int, mandatory boolean").withColumnRenamed("id", "__id"))).where(F.col("id") % F.col("every") == 0)
+    terms = terms.select(F.col("id").cast("string").alias("dissertacao_id"), F.col("__id").alias("id"), "eixo", "mandatory")
+    themes = docs.select(F.col("id").cast("string").alias("dissertacao_id"), F.lit("").alias("tematica_1"), F.lit("").alias("tematica_2"))
+    judged = RE.against_reference(answers, RE.methods(answers, known, RE.keys_of(known)), themes, terms).runs
+    return judged.select(
+        "execucao", F.col("avaliadas").alias("n"), *(F.round(f"met_{c}", 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")),
+        F.round("micro_precision", 6).alias("micro_precision"), F.round("micro_recall", 6).alias("micro_recall"), F.round("met_precisao_estrita", 6).alias("strict_precision"),
+    )

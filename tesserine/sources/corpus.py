@@ -43,10 +43,13 @@ def read_raw(spark: SparkSession, path: str, prefix: str = "D") -> DataFrame:
 
 
 def raise_problems(rows: DataFrame, most: int = 1_000) -> None:
-    """``name, problems``: raise one error that lists them all (of at most ``most`` items)."""
-    found = rows.where(F.size("problems") > 0).limit(most).collect()
+    """``name, problems``: raise one error that lists all problems, and counts those beyond ``most`` items."""
+    wrong = rows.where(F.size("problems") > 0)
+    found = wrong.limit(most + 1).collect()
     if found:
-        raise ContractError("\n".join(f"{r['name']}: {p}" for r in found for p in r["problems"]))
+        lines = [f"{r['name']}: {p}" for r in found[:most] for p in r["problems"]]
+        more = [f"and {wrong.count() - most} more items"] if len(found) > most else []
+        raise ContractError("\n".join(lines + more))
 
 
 def contract_problems(items: DataFrame, fields: dict[str, str], required: list[str], axis: str | None = None) -> DataFrame:
