@@ -140,8 +140,11 @@ def literal_hits(chosen: DataFrame, entries: DataFrame, key: str) -> DataFrame:
         F.transform(F.concat(F.array("termo"), "sinonimos"), lambda e: F.struct(e.alias("e"), F.lit(2).alias("w"))),
         F.transform("sinais", lambda e: F.struct(e.alias("e"), F.lit(1).alias("w"))),
     )).alias("x"))
-    marked = marked.select("ord", T.expression(F.col("x.e")).alias("__e"), F.col("x.w").alias("__w"))
-    found = texts.join(sent_along(marked), T.contains_expression(F.col("__t"), F.col("__e")))
+    first_word = lambda e: F.substring_index(e, " ", 1)
+    marked = marked.select("ord", T.expression(F.col("x.e")).alias("__e"), F.col("x.w").alias("__w")).withColumn("__first", first_word(F.col("__e")))
+    # a text and an expression meet on the expression's first word, so a base of any size needs no pairing of all with all
+    spoken = texts.select(key, "__t", F.explode(F.array_distinct(F.split("__t", " "))).alias("__first"))
+    found = spoken.join(marked, "__first").where(T.contains_expression(F.col("__t"), F.col("__e")))
     return found.groupBy(key, "ord").agg(F.sum("__w").cast("double").alias("score"))
 
 

@@ -15,6 +15,7 @@ from tesserine.operators import statistics as ST
 from tesserine.operators import validation as V
 from tesserine.operators import vocabulary as VO
 from tesserine.plans import answers as A
+from tesserine.plans import export as X
 from tesserine.plans import report as RE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -783,3 +784,78 @@ def run_scores(spark, d):
         "execucao", F.col("avaliadas").alias("n"), *(F.round(f"met_{c}", 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")),
         F.round("micro_precision", 6).alias("micro_precision"), F.round("micro_recall", 6).alias("micro_recall"), F.round("met_precisao_estrita", 6).alias("strict_precision"),
     )
+
+
+@query(f"""
+    WITH {_STORED},
+    l AS (SELECT execucao, d, max(p_partkey) AS p_partkey FROM a GROUP BY 1, 2),
+    s AS (SELECT l.execucao, l.d, list_sort(list(DISTINCT id) FILTER (id IS NOT NULL)) AS ids FROM l LEFT JOIN said USING (p_partkey) GROUP BY 1, 2),
+    t AS (SELECT execucao, d, coalesce(ids, CAST([] AS VARCHAR[])) AS ids FROM s),
+    j AS (SELECT x.execucao AS a, y.execucao AS b, len(list_intersect(x.ids, y.ids)) AS common, len(x.ids) + len(y.ids) AS total FROM t x JOIN t y ON x.d = y.d AND x.execucao < y.execucao),
+    g AS (SELECT a, b, count(*) AS n, round(avg(CASE WHEN total = 0 THEN 1 ELSE common / (total - common) END), 9) AS jaccard FROM j GROUP BY 1, 2)
+    SELECT x.execucao AS a, y.execucao AS b, coalesce(n, 0) AS dissertacoes, jaccard FROM (SELECT DISTINCT execucao FROM l) x JOIN (SELECT DISTINCT execucao FROM l) y ON x.execucao < y.execucao LEFT JOIN g ON g.a = x.execucao AND g.b = y.execucao""")
+def run_agreement(spark, d):
+    """Every pair of runs, over the documents that both answered."""
+    answers, _, known = _stored(spark, d)
+    pairs, _ = RE.agreement(answers, RE.methods(answers, known, RE.keys_of(known)))
+    return pairs.select("a", "b", "dissertacoes", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(f"""
+    WITH {_STORED}
+    SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS tematica_1, array_to_string(items, '; ') AS metodologias, 'F1: ' || p_name || chr(10) || 'F2: ' || p_brand AS evidencia_tematica_1,
+        array_to_string(list_transform(items, lambda i: i || ' [F9, F1]'), '; ') || chr(10) || chr(10) || 'F1: ' || p_name || chr(10) || 'F9: {X.MISSING_SENTENCE}' AS evidencia_metodologias,
+        CASE WHEN failed THEN 'erro' WHEN second <> 'ok' THEN 'tematica_2: ' || second ELSE 'ok' END AS status FROM a""")
+def answer_sheets(spark, d):
+    """Answers with their cited sentences as people read them; a document has two sentences, and methods cite one that isn't there."""
+    parts, (answers, _, _) = table(spark, d, "part"), _stored(spark, d)
+    sentences = parts.select(F.col("p_partkey").alias("id"), F.inline(F.array(F.struct(F.lit("F1").alias("frase_id"), F.col("p_name").alias("texto")), F.struct(F.lit("F2").alias("frase_id"), F.col("p_brand").alias("texto")))))
+    citing = lambda f, *ids: V.field(f["texto"], F.array(*map(F.lit, ids)), f["status"])
+    told = answers.select(
+        F.col("pos").alias("id"), citing(F.col("tematica_1"), "F2", "F1", "F2").alias("tematica_1"), "tematica_2", F.transform("metodologias", lambda f: citing(f, "F9", "F1")).alias("metodologias"),
+        F.lit("m").alias("modelo"), F.lit("denso").alias("tecnica"), F.lit("v3").alias("versao_prompt"),
+    )
+    first, second = X.sheets(parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("titulo")), told, sentences)
+    rows = first.select("id", "tematica_1", "metodologias").join(second.select("id", "evidencia_tematica_1", "evidencia_metodologias", "status"), "id")
+    return rows.withColumn("id", F.col("id").cast("string"))
+
+
+_RAW = f"CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || '{T.ATTEMPT_MARK}' || p_brand WHEN 2 THEN '{T.NOTE_STARTS[0]} x]' ELSE p_name || '{T.ATTEMPT_MARK}' || '{T.NOTE_STARTS[1]} y]' END"
+_SAID_NOTHING = "CASE p_partkey % 5 WHEN 0 THEN ' Não  informado no resumo.' WHEN 1 THEN 'não informada' WHEN 2 THEN 'Nao informado, mas ' || p_name ELSE p_name END"
+
+
+@query(f"""
+    WITH a AS (SELECT p_partkey, p_name, p_brand, p_size, {_SAID_NOTHING} AS t, {_RAW} AS raw FROM part)
+    SELECT p_partkey, starts_with({_sql_said('t')}, 'nao informad') AS says_nothing, p_size = 7 OR {_sql_key('t')} = 'naoinformadonoresumo' AS marked_empty, p_brand || '#F' || p_size AS key, p_name || '; ' || p_brand || '; x' AS entry,
+        CAST(len(list_filter(string_split(raw, '{T.ATTEMPT_MARK}'), lambda p: p <> '' AND NOT starts_with(p, '{T.NOTE_STARTS[0]}') AND NOT starts_with(p, '{T.NOTE_STARTS[1]}'))) AS BIGINT) AS attempts FROM a""")
+def marks_and_keys(spark, d):
+    """Both tests of "not informed", keys of sentences, texts of entries, attempts told from raw outputs."""
+    rows = table(spark, d, "part").withColumns({"t": F.expr(_SAID_NOTHING), "raw": F.expr(_RAW.replace(T.ATTEMPT_MARK, T.ATTEMPT_MARK.replace("\n", "\\n")))})
+    return rows.select(
+        "p_partkey", T.says_nothing(F.col("t")).alias("says_nothing"), T.marked_empty(F.col("t"), F.when(F.col("p_size") == 7, V.SILENT)).alias("marked_empty"),
+        T.composite_key(F.col("p_brand"), F.concat(F.lit("F"), "p_size")).alias("key"), T.entry_text(F.col("p_name"), F.array("p_brand", F.lit("x"))).alias("entry"), T.attempts(F.col("raw")).cast("long").alias("attempts"),
+    )
+
+
+@query("""
+    WITH t AS (SELECT p_brand, p_size > 20 AS predicted, p_partkey % 2 = 0 AS mandatory, p_type IN ('PROMO', 'SMALL') AS in_base, p_partkey % 3 = 0 AS offered, p_type = 'LARGE' AS study, p_type <> 'MEDIUM' AS source FROM part)
+    SELECT p_brand, count_if(predicted AND mandatory AND in_base) AS exact_hits, count_if(predicted AND NOT mandatory AND study) AS invented_case_studies, count_if(mandatory AND source) AS sources_wanted,
+        count_if(predicted AND mandatory AND source) AS sources_found, count_if(predicted AND mandatory AND NOT in_base) AS found_outside_base, count_if(predicted AND NOT mandatory AND offered) AS invented_among_offered FROM t GROUP BY p_brand""")
+def diagnostic_counts(spark, d):
+    terms = table(spark, d, "part").select(
+        "p_brand", (F.col("p_size") > 20).alias("predicted"), (F.col("p_partkey") % 2 == 0).alias("mandatory"), F.col("p_type").isin("PROMO", "SMALL").alias("in_base"), (F.col("p_partkey") % 3 == 0).alias("offered"),
+        F.when(F.col("p_type") == "LARGE", "estudo_de_caso").otherwise(F.lower("p_type")).alias("id"), F.when(F.col("p_type") != "MEDIUM", "coleta").otherwise("analise").alias("eixo"),
+    )
+    return ST.diagnostics(terms, ["p_brand"])
+
+
+@query("""
+    WITH m AS (SELECT avg((p_size - 25) / 50) AS mean_difference FROM part),
+    g AS (SELECT bool_and(new >= old - 1e-9) AS held FROM (SELECT p_type, avg(p_retailprice) AS old, median(p_retailprice) AS new FROM part GROUP BY p_type))
+    SELECT round(mean_difference, 9) AS mean_difference, mean_difference >= 0 AS f1_holds, held AS guards_hold, mean_difference >= 0 AND held AS accepted FROM m, g""")
+def prompt_decision(spark, d):
+    """Whether a new prompt is taken over; the types of parts stand for guards."""
+    parts = table(spark, d, "part")
+    guards = parts.groupBy(F.col("p_type").alias("name")).agg(F.avg("p_retailprice").alias("old"), F.median("p_retailprice").alias("new"))
+    found = ST.prompt_decision(parts.select(((F.col("p_size") - 25) / 50).alias("f1_difference")), guards)
+    return found.withColumn("mean_difference", F.round("mean_difference", 9))
