@@ -79,6 +79,34 @@ def fused(first: DataFrame, second: DataFrame, group: str, position: str, k: int
     return both.select(group, position, (share("__a") + share("__b")).alias("score"))
 
 
+def fused_best(first: DataFrame, second: DataFrame, group: str, position: str, n: int, k: int = RRF_K) -> DataFrame:
+    """``group, position, score, rank``: the ``n`` best of ``top`` over ``fused``, without ranking all of a group in one task.
+
+    The lists have ``group, position, score``, positions once a group; a row with a null is in none.  An
+    item outside the first ``k + 2n`` of both lists has less than 1 / (k + n), which the first n of either list reach, so the
+    heads of the lists hold all of the result.  Their ranks are then counted: each item of a list falls between two of the
+    at most 2k + 4n candidates of its group, and the numbers of items that fall there, which are added up before they are
+    shuffled, give the candidates' ranks.  Heads are cut in each partition before a group's come together.
+    """
+    depth = k + 2 * n
+    at = F.struct((-F.col("score")).alias("s"), F.col(position).alias("p"))
+    before = F.size(F.filter("__edges", lambda e: e < at))
+    # one filter for all uses of a list, so that its shuffled form is made once
+    lists = [rows.select(group, position, "score").dropna() for rows in (first, second)]
+    heads = [top(rows, group, "score", position, depth).select(group, position) for rows in lists]
+    placed = chosen = heads[0].unionByName(heads[1]).distinct()
+    score = F.lit(0.0)
+    for name, listed in zip(("__a", "__b"), lists, strict=True):
+        edges = listed.join(chosen, [group, position]).groupBy(group).agg(F.array_sort(F.collect_list(at)).alias("__edges"))
+        fallen = listed.join(edges, group).select(group, before.alias("__at"))
+        counts = fallen.groupBy(group, "__at").agg(F.count(F.lit(1)).alias("__n"))
+        reached = counts.select(group, "__at", F.sum("__n").over(Window.partitionBy(group).orderBy("__at")).alias(name))
+        named = edges.select(group, F.posexplode("__edges").alias("__at", "e")).select(group, "__at", F.col("e.p").alias(position))
+        placed = placed.join(named.join(reached, [group, "__at"]).drop("__at"), [group, position], "left")
+        score = score + F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(name)), F.lit(0.0))
+    return top(placed.select(group, position, score.alias("score")), group, "score", position, n)
+
+
 def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame:
     """BM25-Okapi: ``group, item, score`` of every item.
 

@@ -224,10 +224,10 @@ def bm25_topk(spark, d):
     SELECT lang, doc_id, round(s, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, d):
     """BM25 ranks of positive scores fused with a ranking of all documents (here: by length)."""
-    lexical = R.ranks(_bm25(spark, d).withColumn("score", F.round("score", 9)), "lang", "score", "doc_id", positive=True)
-    whole = R.ranks(table(spark, d, "documents"), "lang", "n_chars", "doc_id")
-    both = R.fused(lexical, whole, "lang", "doc_id")
-    return R.top(both, "lang", "score", "doc_id", 10).select("lang", "doc_id", F.round("score", 9).alias("score"), "rank")
+    lexical = _bm25(spark, d).where("score > 0").withColumn("score", F.round("score", 9))
+    whole = table(spark, d, "documents").select("lang", "doc_id", F.col("n_chars").alias("score"))
+    best = R.fused_best(lexical, whole, "lang", "doc_id", 10)
+    return best.select("lang", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 _EXPRESSIONS = [(0, "the tion"), (1, "de la"), (2, "of the"), (3, "Sich in"), (4, "á ción"), (5, "and to"), (6, "!!")]

@@ -180,3 +180,27 @@ def test_fused_in_place(spark):
     plain = R.fused(R.ranks(df, "g", "a", "p"), R.ranks(df, "g", "b", "p", positive=True), "g", "p")
     placed = df.select("g", "p", R.fused_in_place("a", "b", "g", "p").alias("score"))
     assert {tuple(r) for r in placed.collect()} == {tuple(r) for r in plain.collect()}
+
+
+def test_best_of_fusion(spark):
+    from tesserine.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    rows = [(g, p, *(None if rng.random() < 0.2 else float(rng.integers(0, 40)) for _ in "ab")) for g, size in ((1, 400), (2, 3), (3, 90)) for p in range(size)]
+    df = spark.createDataFrame([*rows, (4, 1, None, None)], "g int, p int, a double, b double")
+    listed = lambda s: R.ranks(df.where(F.col(s).isNotNull()), "g", s, "p")
+    for n, k in ((5, 60), (3, 1), (10, 0)):
+        plain = R.top(R.fused(listed("a"), listed("b"), "g", "p", k), "g", "score", "p", n)
+        in_a_list = df.where("a IS NOT NULL OR b IS NOT NULL")
+        best = R.fused_best(*(df.select("g", "p", F.col(s).alias("score")) for s in "ab"), "g", "p", n, k).select("g", "p", "score", "rank")
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, plain.select("g", "p", "score", "rank").collect()))
+        assert best.join(in_a_list, ["g", "p"], "left_anti").count() == 0
+
+
+def test_expressions_in_sentences(spark):
+    from tesserine.operators import retrieval as R
+
+    chosen = spark.createDataFrame([(1, 2, "de campo e roteiro."), (1, 1, "Entrevistas na pesquisa"), (2, 1, "Nada"), (3, 1, "")], "id int, rank int, texto string")
+    entries = spark.createDataFrame([(0, "Pesquisa de campo", ["roteiro", "roteiros"], ["Entrevista", "!!"]), (1, "campo de pesquisa", [], ["nada"])], "ord int, termo string, sinais array<string>, sinonimos array<string>")
+    # the sentences are read in order of rank, so "pesquisa de campo" stands across two; both spellings of a sign count
+    assert {tuple(r) for r in R.literal_hits(chosen, entries, "id").collect()} == {(1, 0, 2.0 + 2.0 + 1.0 + 1.0), (2, 1, 2.0)}
