@@ -112,7 +112,7 @@ def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame
 
     ``items`` has ``group, item, tokens array<string>``; an item without tokens counts as one of a token of its own.  ``query``
     has one row a query token, repeated ones counting again, of a group (``group, token``) or of all groups (``token``).  A
-    negative idf becomes EPSILON times the mean idf of the group.  Texts are read twice: for the counts of a group, in which
+    negative idf becomes EPSILON times the mean idf of the group.  Texts are read for the counts of a group, in which
     an item gives each of its tokens once, and for the scores, in which only tokens of the query leave their item.
     """
     by = [group, "token"] if group in query.columns else ["token"]
