@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.retrieval import dot
+from tesserine.operators.spreading import spread, tasks_for
 from tesserine.operators.validation import ERROR, NO_EVIDENCE, OK, SILENT
 
 # Fixed values
 AXES = ("natureza", "objetivos", "abordagem", "procedimento", "coleta", "analise")
 COVERED_AXES = ("abordagem", "procedimento", "coleta", "analise")
 STATUSES = (OK, NO_EVIDENCE, SILENT, ERROR)
+#: Answers of a task whose axes are counted; they are a few bytes each.
+COVERED_ROWS = 500_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -37,11 +40,16 @@ def scored(counts: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "precision", "recall", F.when(F.col("predicted") == 0, F.col("precision")).otherwise(f1(F.col("precision"), F.col("recall"))).alias("f1"), "hits_p", "predicted", "hits_r", "expected")
 
 
+def told_terms(predicted: DataFrame, reference: DataFrame, by: list[str], term: str) -> DataFrame:
+    """``by..., term, __p, __m``: each term once, with 1 where it was predicted, and 1 or 0 where the reference has it."""
+    said = predicted.select(*by, term, F.lit(1).alias("__p"), F.lit(None).cast("int").alias("__m"))
+    known = reference.select(*by, term, F.lit(None).cast("int").alias("__p"), F.col("mandatory").cast("int").alias("__m"))
+    return said.unionByName(known).groupBy(*by, term).agg(F.max("__p").alias("__p"), F.max("__m").alias("__m"))
+
+
 def scoreboard(predicted: DataFrame, reference: DataFrame, keys: DataFrame, by: list[str], term: str = "term") -> DataFrame:
     """A row for each of ``keys``; ``reference`` has ``mandatory`` (false: acceptable, which only saves precision)."""
-    said = predicted.select(*by, term).distinct().withColumn("__p", F.lit(1))
-    known = reference.groupBy(*by, term).agg(F.max(F.col("mandatory").cast("int")).alias("__m"))
-    met = said.join(known, [*by, term], "full")
+    met = told_terms(predicted, reference, by, term)
     counts = met.groupBy(*by).agg(
         F.count("__p").alias("predicted"),
         F.count(F.when(F.col("__m") == 1, 1)).alias("expected"),
@@ -71,9 +79,7 @@ def micro(board: DataFrame, by: list[str]) -> DataFrame:
 
 def missing_and_extra(predicted: DataFrame, reference: DataFrame, by: list[str], term: str = "term") -> DataFrame:
     """``by..., missing, extra``: mandatory terms not predicted, predicted ones not in the reference; sorted arrays."""
-    said = predicted.select(*by, term).distinct().withColumn("__p", F.lit(1))
-    known = reference.groupBy(*by, term).agg(F.max(F.col("mandatory").cast("int")).alias("__m"))
-    met = said.join(known, [*by, term], "full")
+    met = told_terms(predicted, reference, by, term)
     return met.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.when((F.col("__m") == 1) & F.col("__p").isNull(), F.col(term)))).alias("missing"),
         F.array_sort(F.collect_list(F.when(F.col("__m").isNull(), F.col(term)))).alias("extra"),
@@ -116,12 +122,17 @@ def time_summary(times: DataFrame, by: list[str], seconds: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(seconds).alias("mean_s"), F.median(seconds).alias("median_s"), F.max(seconds).alias("max_s"), F.sum(seconds).alias("total_s"), F.count(seconds).alias("n"))
 
 
-def coverage(methods: DataFrame, answers: DataFrame, run: str, document: str, axis: str, axes=COVERED_AXES) -> DataFrame:
-    """``run, mean_axes, answers_<axis>``: how many of the axes the answers that did not fail cover."""
-    wanted = methods.where(F.col(axis).isin(*axes)).select(run, document, axis).distinct()
-    rows = answers.select(run, document).distinct().join(wanted, [run, document], "left")
-    per = rows.groupBy(run, document).agg(F.count(axis).alias("__axes"), *(F.max((F.col(axis) == a).cast("int")).alias(a) for a in axes))
-    return per.groupBy(run).agg(F.avg("__axes").alias("mean_axes"), *(F.sum(F.coalesce(a, F.lit(0))).cast("long").alias(f"answers_{a}") for a in axes))
+def coverage(methods: DataFrame, answers: DataFrame, run: str, document: str, axis: str, axes=COVERED_AXES, n: int | None = None) -> DataFrame:
+    """``run, mean_axes, answers_<axis>``: how many of the axes the answers that did not fail cover.
+
+    Rows come together once, by answer, in ``n`` tasks (as many as the answers ask for without it).
+    """
+    named = methods.where(F.col(axis).isin(*axes)).select(run, document, F.col(axis).alias("__axis"), F.lit(0).alias("__in"))
+    rows = answers.select(run, document, F.lit(None).cast("string").alias("__axis"), F.lit(1).alias("__in")).unionByName(named)
+    n = n or tasks_for(answers, COVERED_ROWS)
+    per = spread(rows, run, document, n=n).groupBy(run, document).agg(F.max("__in").alias("__in"), *(F.coalesce(F.max((F.col("__axis") == a).cast("int")), F.lit(0)).alias(a) for a in axes))
+    told = per.where("__in = 1")
+    return told.groupBy(run).agg(F.avg(sum(F.col(a) for a in axes)).alias("mean_axes"), *(F.sum(a).cast("long").alias(f"answers_{a}") for a in axes))
 
 
 def item_format(items: DataFrame, by: list[str]) -> DataFrame:
