@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.operators import blocks as BL
 from tesserine.operators.retrieval import dot
 from tesserine.operators.spreading import spread, tasks_for
 from tesserine.operators.validation import ERROR, NO_EVIDENCE, OK, SILENT
@@ -102,11 +105,60 @@ def theme_hits(pairs: DataFrame, by: str) -> DataFrame:
     """Baseline, margin and strict hit@1 of each ``by``, from similarities of every answer ``i`` with every reference ``j``."""
     own, other = F.col("i") == F.col("j"), F.col("i") != F.col("j")
     rows = pairs.groupBy(by, "i").agg(F.max(F.when(own, F.col("similarity"))).alias("own"), F.max(F.when(other, F.col("similarity"))).alias("best"), F.sum(F.when(other, F.col("similarity"))).alias("others"), F.count(F.when(other, 1)).alias("n"))
+    return told_hits(rows, by)
+
+
+def told_hits(rows: DataFrame, by: str) -> DataFrame:
+    """``by, documents, baseline, margin, hit_at_1`` from ``by, i, own, best, others, n``."""
     sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), (F.sum("others") / F.sum("n")).alias("baseline"), F.avg("own").alias("mean_own"), F.avg((F.col("own") > F.col("best")).cast("double")).alias("hit_at_1"))
     enough = F.col("documents") > 1
     return sums.select(by, "documents", F.when(enough, F.col("baseline")).alias("baseline"), F.when(enough, F.col("mean_own") - F.col("baseline")).alias("margin"), F.when(enough, F.col("hit_at_1")).alias("hit_at_1"))
 
 
+def theme_hits_of(own: DataFrame, references: DataFrame, by: str) -> DataFrame:
+    """``theme_hits`` of answers (``by, i, a1, a2``) with all references (``by, j, b1, b2``) of their ``by``.
+
+    Every pair is looked at, as the baseline is defined so; a block of answers meets a block of references in one task, which
+    gives a row an answer instead of a row a pair.
+    """
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = (np.asarray(t.column(n).combine_chunks(), dtype=np.int64) for t, n in ((left, "i"), (right, "j")))
+        a, b = ([BL.matrix(t.column(n)) for n in names] for t, names in ((left, ("a1", "a2")), (right, ("b1", "b2"))))
+        columns = [np.ascontiguousarray(m.T) for m, _ in b]
+        found = {c: np.full(len(i), np.nan) for c in ("own", "best", "others")} | {"n": np.zeros(len(i), np.int64)}
+        has_own, total = np.zeros(len(i), bool), np.zeros(len(i))
+        best = np.full(len(i), -np.inf)
+        for at in range(0, len(i), BL.TILE):
+            rows = slice(at, at + BL.TILE)
+            for start in range(0, len(j), 8 * BL.TILE):
+                part = slice(start, start + 8 * BL.TILE)
+                s = {}
+                for x in (0, 1):
+                    for y in (0, 1):
+                        p = BL.products(a[x][0][rows], columns[y][:, part])
+                        s[x, y] = np.where(a[x][1][rows, None] & b[y][1][part], p, 0.0)
+                similarity = np.maximum((s[0, 0] + s[1, 1]) / 2, (s[0, 1] + s[1, 0]) / 2)
+                same = i[rows, None] == j[part]
+                for r, c in zip(*np.nonzero(same), strict=True):
+                    k, v = at + r, similarity[r, c]
+                    found["own"][k] = v if not has_own[k] else np.maximum(found["own"][k], v)
+                    has_own[k] = True
+                best[rows] = np.maximum(best[rows], np.where(same, -np.inf, similarity).max(axis=1))
+                total[rows] += np.where(same, 0.0, similarity).sum(axis=1)
+                found["n"][rows] += (~same).sum(axis=1)
+        none = found["n"] == 0
+        group = pa.repeat(left.column(by)[0], len(i))
+        return pa.table({by: group, "i": i, "own": pa.array(found["own"], mask=~has_own), "best": pa.array(best, mask=none), "others": pa.array(total, mask=none), "n": found["n"]})
+
+    kind = own.schema[by].dataType.simpleString()
+    left = own.select(by, F.col("i").cast("long").alias("i"), "a1", "a2")
+    right = references.select(by, F.col("j").cast("long").alias("j"), "b1", "b2")
+    parts = BL.met(left, right, by, F.col("i"), F.col("j"), pair, f"{by} {kind}, i long, own double, best double, others double, n long")
+    rows = parts.groupBy(by, "i").agg(F.max("own").alias("own"), F.max("best").alias("best"), F.sum("others").alias("others"), F.sum("n").alias("n"))
+    return told_hits(rows, by)
+
+
 def status_counts(fields: DataFrame, by: list[str], status: str = "status", statuses=STATUSES) -> DataFrame:
     """``by..., status, n``: a row for every status, those not seen with 0."""
     spark = fields.sparkSession

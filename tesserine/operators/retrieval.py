@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.operators import blocks as BL
 
 # Fixed values
 TOP_SENTENCES = TOP_ENTRIES = 5
@@ -65,6 +67,34 @@ def top(rows: DataFrame, group: str | list[str], score: str, position: str, k: i
     return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, rows: DataFrame, by: str, k: int) -> DataFrame:
+    """``query_id, vec_id, s``: of each query (``query_id, by, __q``) and each block of the rows (``vec_id, by, embedding``) of its
+    ``by`` the ``k`` nearest others, ties to the smaller id, so that ``top`` finds among them the k best of all."""
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, v = (np.asarray(t.column(n).combine_chunks(), dtype=np.int64) for t, n in ((left, "query_id"), (right, "vec_id")))
+        (a, asked), (b, there) = BL.matrix(left.column("__q")), BL.matrix(right.column("embedding"))
+        order = np.argsort(v, kind="stable")
+        v, there, columns = v[order], there[order], np.ascontiguousarray(b[order].T)
+        found = []
+        for at in range(0, len(q), BL.TILE):
+            s = np.concatenate([BL.products(a[at : at + BL.TILE], columns[:, c : c + 8 * BL.TILE]) for c in range(0, len(v), 8 * BL.TILE)], axis=1)
+            for r in range(len(s)):
+                row, known = np.where(there & asked[at + r], s[r], -np.inf), np.nonzero(v != q[at + r])[0]
+                # a stable sort keeps the smaller ids of equal products first; NaN counts as the largest, as in Spark
+                values = np.where(np.isnan(row[known]), np.inf, row[known])
+                if len(known) > k:
+                    last = np.partition(values, len(values) - k)[len(values) - k]
+                    known, values = known[values >= last], values[values >= last]
+                best = known[np.argsort(-values, kind="stable")[:k]]
+                found.append((np.full(len(best), q[at + r]), v[best], row[best]))
+        query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.array([], t) for t in ("i8", "i8", "f8"))
+        return pa.table({"query_id": query, "vec_id": vec, "s": pa.array(score, mask=np.isneginf(score))})
+
+    left = queries.withColumn("query_id", F.col("query_id").cast("long"))
+    return BL.met(left, rows.withColumn("vec_id", F.col("vec_id").cast("long")), by, F.col("query_id"), F.col("vec_id"), pair, "query_id long, vec_id long, s double")
+
+
 def ranks(rows: DataFrame, group: str, score: str, position: str, positive: bool = False) -> DataFrame:
     """``group, position, rank``, of positive scores alone where asked."""
     rows = rows.where(F.col(score) > 0) if positive else rows

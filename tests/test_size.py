@@ -1,6 +1,12 @@
 """Steps whose cost must not grow faster than their input: what they give, and how they are planned."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tesserine.operators import blocks as BL
 from tesserine.operators import metrics as M
+from tesserine.operators import retrieval as R
 
 
 def plan(df):
@@ -12,3 +18,36 @@ def test_coverage_meets_no_table_with_itself(spark):
     found = M.coverage(rows, rows.where("run <> 'c'"), "run", "doc", "axis", ("A", "B"))
     assert "Join" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", 1.0, 1, 1), ("b", 0.0, 0, 0)]
+
+
+def vectors(n, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, 8)).astype("float32").round(1).tolist()
+
+
+def test_theme_hits_of_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(BL, "BLOCK_ROWS", 4)
+    n = 30
+    own = [(i % 2, i, a, None if i == 3 else b) for i, (a, b) in enumerate(zip(vectors(n, 1), vectors(n, 2)))]
+    other = [(i % 2, i, a, b) for i, (a, b) in enumerate(zip(vectors(n, 1), vectors(n, 3)))]
+    # copies: as good as the own reference, so no hit
+    other += [(0, n + 2 * i, a, b) for i, (_, _, a, b) in enumerate(other[:6:2])] + [(1, 7, *other[1][2:])]
+    a = spark.createDataFrame(own, "run int, i long, a1 array<float>, a2 array<float>")
+    b = spark.createDataFrame(other, "run int, j long, b1 array<float>, b2 array<float>")
+    pairs = a.join(b, "run").select("run", "i", "j", M.pair_similarity(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")).alias("similarity"))
+    want, got = ({r["run"]: r for r in df.collect()} for df in (M.theme_hits(pairs, "run"), M.theme_hits_of(a, b, "run")))
+    assert set(got) == set(want) == {0, 1}
+    for run in want:
+        assert got[run]["documents"] == want[run]["documents"] and got[run]["hit_at_1"] == want[run]["hit_at_1"]
+        assert got[run]["baseline"] == pytest.approx(want[run]["baseline"]) and got[run]["margin"] == pytest.approx(want[run]["margin"])
+
+
+def test_nearest_gives_few_rows_a_block(spark, monkeypatch):
+    monkeypatch.setattr(BL, "BLOCK_ROWS", 8)
+    rows = [(i, i % 2, None if i == 4 else v) for i, v in enumerate(vectors(10, 1) * 4)]
+    every = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    asked = every.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("__q"))
+    pairs = every.join(asked, "label").where("vec_id <> query_id").select("query_id", "vec_id", R.dot(F.col("__q"), F.col("embedding")).alias("s"))
+    found = R.nearest(asked, every, "label", 5)
+    assert found.count() < pairs.count()
+    assert R.top(found, "query_id", "s", "vec_id", 5).sort("query_id", "rank").collect() == R.top(pairs, "query_id", "s", "vec_id", 5).sort("query_id", "rank").collect()
