@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.operators.spreading import spread, tasks_for
 
 FREE = "livre:"
 
@@ -147,14 +148,16 @@ def split_terms(text: Column, keys: Collection[str]) -> Column:
     return terms(text)
 
 
-def methods_of_answers(fields: DataFrame, known: DataFrame, keys: Collection[str], by: list[str]) -> DataFrame:
+def methods_of_answers(fields: DataFrame, known: DataFrame, keys: Collection[str], by: list[str], n: int | None = None) -> DataFrame:
     """``by..., id, eixo``: the entries that an answer's method fields name (``by..., pos, texto, status``), each once.
 
     Fields that failed or say that nothing was informed name none.  Where an entry has several axes, the first one stays.
+    A term is linked once, whoever says it.  Results come by ``by`` in ``n`` tasks, as many as the fields ask for without it.
     """
+    n = n or tasks_for(fields)
     told = fields.where(~T.marked_empty(F.coalesce("texto", F.lit("")), F.col("status")) & (F.coalesce("status", F.lit("")) != "erro"))
     terms = told.select(*by, "pos", F.posexplode(split_terms(F.coalesce("texto", F.lit("")), keys)).alias("at", "termo"))
-    terms = terms.withColumn("__k", F.struct(*by))
-    named = linked(terms.select("__k", "termo"), known, "__k")
-    rows = terms.select("__k", "pos", "at", "termo").join(named, ["__k", "termo"])
-    return rows.groupBy("__k", "id").agg(F.min_by("eixo", F.struct("pos", "at")).alias("eixo")).select(*(F.col(f"__k.{c}").alias(c) for c in by), "id", "eixo")
+    named = linked(terms.select(F.col("termo").alias("__k"), "termo").distinct(), known, "__k").select("termo", "id", "eixo")
+    # every term has an entry; a left join leaves the many rows of all answers where they are
+    rows = spread(terms.join(named, "termo", "left"), *by, n=n)
+    return rows.groupBy(*by, "id").agg(F.min_by("eixo", F.struct("pos", "at")).alias("eixo")).select(*by, "id", "eixo")

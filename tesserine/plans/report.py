@@ -20,6 +20,7 @@ from tesserine.operators import retrieval as R
 from tesserine.operators import statistics as ST
 from tesserine.operators import validation as V
 from tesserine.operators import vocabulary as VO
+from tesserine.operators.spreading import spread, tasks_for
 from tesserine.plans import export as X
 
 RUN, DOCUMENT = "execucao", "dissertacao_id"
@@ -48,23 +49,30 @@ def with_status(answers: DataFrame) -> DataFrame:
     return answers.select(RUN, F.col("pos").alias("resposta"), DOCUMENT, every_field(answers).alias("fields")).withColumn("status", V.worst_status(told))
 
 
+def by_answer(answers: DataFrame, n: int) -> DataFrame:
+    """``execucao, resposta, dissertacao_id, metodologias`` in ``n`` tasks, however few files hold the answers."""
+    return spread(answers.select(RUN, F.col("pos").alias("resposta"), DOCUMENT, "metodologias"), *ANSWER, DOCUMENT, n=n)
+
+
 def methods(answers: DataFrame, known: DataFrame, keys: Collection[str]) -> DataFrame:
     """``execucao, resposta, dissertacao_id, id, eixo``: the entries that each answer names."""
-    rows = answers.select(RUN, F.col("pos").alias("resposta"), DOCUMENT, F.posexplode("metodologias").alias("pos", "f"))
-    return VO.methods_of_answers(rows.select(*ANSWER, DOCUMENT, "pos", "f.texto", "f.status"), known, keys, [*ANSWER, DOCUMENT])
+    n = tasks_for(answers)
+    rows = by_answer(answers, n).select(*ANSWER, DOCUMENT, F.posexplode("metodologias").alias("pos", "f"))
+    return VO.methods_of_answers(rows.select(*ANSWER, DOCUMENT, "pos", "f.texto", "f.status"), known, keys, [*ANSWER, DOCUMENT], n)
 
 
 def written_items(answers: DataFrame, known: DataFrame, keys: Collection[str]) -> DataFrame:
     """``execucao, words, exact, methods`` of each item of methods that states one.  A term is looked up once, whoever says it."""
-    rows = answers.select(RUN, F.col("pos").alias("resposta"), F.posexplode("metodologias").alias("pos", "f")).select(*ANSWER, "pos", F.coalesce("f.texto", F.lit("")).alias("texto"), "f.status")
+    fields = by_answer(answers, tasks_for(answers)).select(*ANSWER, F.posexplode("metodologias").alias("pos", "f"))
+    rows = fields.select(*ANSWER, "pos", F.coalesce("f.texto", F.lit("")).alias("texto"), "f.status")
     rows = rows.where(~T.marked_empty(F.col("texto"), F.col("status")) & (F.coalesce("status", F.lit("")) != V.ERROR))
-    said = rows.select(*ANSWER, "pos", F.explode(VO.split_terms(F.col("texto"), keys)).alias("termo"))
-    terms = said.select(F.col("termo").alias("__k"), "termo").distinct()
+    # an item stays with its terms all the way, so that no two tables of all items meet
+    said = rows.select(*ANSWER, "pos", word_count(F.col("texto")).alias("words"), F.explode_outer(VO.split_terms(F.col("texto"), keys)).alias("termo"))
+    terms = said.where("termo IS NOT NULL").select(F.col("termo").alias("__k"), "termo").distinct()
     sure = VO.recognized(terms, known, "__k").select("termo", (~F.col("id").startswith(VO.FREE)).alias("sure"))
     number = VO.linked(terms, known, "__k").groupBy("termo").agg(F.count(F.lit(1)).alias("n"))
-    counts = said.join(sure, "termo").join(number, "termo").groupBy(*ANSWER, "pos").agg(F.bool_and("sure").alias("exact"), F.sum("n").alias("methods"))
-    found = rows.join(counts, [*ANSWER, "pos"], "left")
-    return found.select(RUN, word_count(F.col("texto")).alias("words"), F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("methods", F.lit(0)).alias("methods"))
+    found = said.join(sure.join(number, "termo"), "termo", "left").groupBy(*ANSWER, "pos").agg(F.first("words").alias("words"), F.bool_and("sure").alias("exact"), F.sum("n").alias("methods"))
+    return found.select(RUN, "words", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("methods", F.lit(0)).alias("methods"))
 
 
 def word_count(text: Column) -> Column:

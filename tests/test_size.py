@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserine import queries as Q
 from tesserine.operators import blocks as BL
 from tesserine.operators import metrics as M
 from tesserine.operators import retrieval as R
+from tesserine.operators import vocabulary as VO
 
 
 def plan(df):
@@ -51,3 +53,10 @@ def test_nearest_gives_few_rows_a_block(spark, monkeypatch):
     found = R.nearest(asked, every, "label", 5)
     assert found.count() < pairs.count()
     assert R.top(found, "query_id", "s", "vec_id", 5).sort("query_id", "rank").collect() == R.top(pairs, "query_id", "s", "vec_id", 5).sort("query_id", "rank").collect()
+
+
+def test_answers_are_dealt_by_their_number(spark):
+    answers = spark.createDataFrame([("r", "d", 0, "blue", None)], "run string, doc string, pos int, texto string, status string")
+    known = VO.vocabulary(spark.createDataFrame([(0, "blue", "a", ["blue"])], "ord int, id string, eixo string, formas array<string>"))
+    assert "RepartitionByExpression" in plan(VO.methods_of_answers(answers, known, ["blue"], ["run", "doc"], n=3))
+    assert "RepartitionByExpression" in plan(Q.QUERIES["check_answers"](spark, "/root/testdata/sf0.001"))
