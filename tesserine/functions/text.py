@@ -1,4 +1,4 @@
-"""Text functions as columns.  One Arrow function (Unicode normal forms, for texts beyond Latin letters); the rest is built in.
+"""Text functions as columns.  One Arrow function (Unicode normal forms of short texts); the rest is built in.
 
 Patterns spell their classes out, so that they mean the same in Java, Python and RE2.
 """
@@ -47,18 +47,8 @@ NOT_INFORMED = "Não informado no resumo"
 STEM = 6
 
 
-def _bases(first: int, last: int) -> tuple[str, str]:
-    """The letters with marks of a range of code points, and the letters they are made of."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(first, last) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-#: What Spark can bring into a normal form itself, by form: texts of these characters, and the letters that change in them.
-#: Below U+0300 nothing composes; the quotation marks and dashes among U+2010 to U+2027 have no canonical form but their own.
-PLAIN = {
-    "NFC": (r"[^\x00-\x{2FF}\x{2010}-\x{2027}]", ("", "")),
-    "NFD": (r"[^\x00-\x{17F}\x{2010}-\x{2027}]", _bases(0xC0, 0x180)),
-}
+#: The method of the ICU library, which Spark brings along, that gives a form.
+ICU_FORMS = {"NFC": "compose", "NFD": "decompose"}
 
 
 def unicode_form(text: Column, form: str) -> Column:
@@ -72,16 +62,14 @@ def unicode_form(text: Column, form: str) -> Column:
 
 
 def sparing_form(text: Column, form: str) -> Column:
-    """Unicode normal form, NFD without combining marks; only texts that Spark has no means for go to Python.
+    """Unicode normal form, NFD without combining marks, without Python; ASCII texts pass through.
 
     It names ``text`` several times, so it is for columns, not for long expressions.
     """
-    other, letters = PLAIN[form]
-    foreign = F.rlike(text, F.lit(other))
-    done = unicode_form(F.when(foreign, text), form)
-    if form == "NFC":
-        return F.when(foreign, done).otherwise(text)
-    return F.when(foreign, F.regexp_replace(done, r"\p{Mn}+", "")).otherwise(F.translate(text, *letters))
+    done = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(ICU_FORMS[form]), text, F.lit(False))
+    if form == "NFD":
+        done = F.regexp_replace(done, r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(text.isNotNull(), done)
 
 
 def normalized(text: Column) -> Column:
@@ -108,15 +96,15 @@ def without_marks(text: Column) -> Column:
 
 def retrieval_tokens(text: Column) -> Column:
     """Words of at least three letters, accents folded, stop words dropped, cut to six letters."""
-    words = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit("[a-z]+"), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*RETRIEVAL_STOP_WORDS))
-    return F.transform(kept, lambda w: F.substring(w, 1, STEM))
+    # stop words are shorter than a stem, so none is the beginning of a word that was cut
+    stems = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit(f"([a-z]{{3,{STEM}}}+)[a-z]*+"), F.lit(1))
+    return F.filter(stems, lambda w: ~w.isin(*RETRIEVAL_STOP_WORDS))
 
 
 def expression(text: Column) -> Column:
     """All words, accents folded, cut to six letters, one space apart: the form in which expressions are looked for."""
-    words = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.substring(w, 1, STEM)), " ")
+    stems = F.regexp_extract_all(sparing_form(F.lower(text), "NFD"), F.lit(f"([a-z0-9]{{1,{STEM}}}+)[a-z0-9]*+"), F.lit(1))
+    return F.array_join(stems, " ")
 
 
 def contains_expression(text: Column, wanted: Column) -> Column:

@@ -27,6 +27,8 @@ METHOD_QUERY = "procedimentos metodológicos da pesquisa: tipo de estudo, aborda
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Entries of a knowledge base at most; a larger one is no base to send along with every task.
 MOST_ENTRIES = 10_000
+#: Weights of a query's tokens in all groups at most that are sent along.
+MOST_WEIGHTS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -137,13 +139,14 @@ def fused_best(first: DataFrame, second: DataFrame, group: str, position: str, n
     return top(placed.select(group, position, score.alias("score")), group, "score", position, n)
 
 
-def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame:
+def bm25(items: DataFrame, query: DataFrame, group: str, item: str, groups: int | None = None) -> DataFrame:
     """BM25-Okapi: ``group, item, score`` of every item.
 
     ``items`` has ``group, item, tokens array<string>``; an item without tokens counts as one of a token of its own.  ``query``
     has one row a query token, repeated ones counting again, of a group (``group, token``) or of all groups (``token``).  A
-    negative idf becomes EPSILON times the mean idf of the group.  Texts are read for the counts of a group, in which
-    an item gives each of its tokens once, and for the scores, in which only tokens of the query leave their item.
+    negative idf becomes EPSILON times the mean idf of the group.  Texts are read twice: for the counts of a group, in which
+    an item gives each of its tokens once, and for the scores, in which only tokens of the query leave their item.  Where the
+    number of ``groups`` is told and few weights can come of it, they are sent along, and no token is shuffled for its weight.
     """
     by = [group, "token"] if group in query.columns else ["token"]
     tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("_")))
@@ -151,12 +154,10 @@ def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame
     # the empty token stands for the item itself
     once = items.select(group, "dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
     counts = once.groupBy(group, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
-    sizes = counts.where("token = ''").select(group, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    idf = counts.where("token <> ''").join(sizes, group).select(group, "token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    means = idf.groupBy(group).agg(F.avg("idf").alias("mean_idf"))
     wanted = query.groupBy(*by).agg(F.count(F.lit(1)).alias("qtf"))
-    weights = idf.join(wanted, by).join(means, group)
-    weights = weights.select(group, "token", "avgdl", (F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).alias("weight"))
+    weights = token_weights(counts, wanted, by, group)
+    if groups is not None and groups * wanted.count() <= MOST_WEIGHTS:
+        weights = F.broadcast(weights)
     every = items.select(group, item, "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
     hits = every.join(weights, [group, "token"], "left").where("token = '' OR weight IS NOT NULL")
     tf = hits.groupBy(group, item, "token").agg(F.count(F.lit(1)).alias("tf"), *(F.max(c).alias(c) for c in ("dl", "avgdl", "weight")))
@@ -164,6 +165,31 @@ def bm25(items: DataFrame, query: DataFrame, group: str, item: str) -> DataFrame
     return tf.groupBy(group, item).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("score"))
 
 
+def token_weights(counts: DataFrame, wanted: DataFrame, by: list[str], group: str) -> DataFrame:
+    """``group, token, avgdl, weight`` of the ``wanted`` tokens (``by, qtf``) that a group has.
+
+    ``counts`` (``group, token, df, total``) is used once, as what it stems from would be read again for each use: tokens of
+    one ``df`` have one idf, so a group becomes a row with an entry for each ``df`` that its tokens have.
+    """
+    of_item = F.col("token") == ""
+    asked = F.when(F.col("qtf").isNotNull() & ~of_item, F.struct("token", "qtf"))
+    alike = counts.join(wanted, by, "left").groupBy(group, "df").agg(
+        F.count(F.when(~of_item, 1)).alias("tokens"),
+        F.max(F.when(of_item, F.col("total"))).alias("total"),
+        F.collect_list(asked).alias("asked"),
+    )
+    n = F.when(F.col("total").isNotNull(), F.col("df"))
+    whole = alike.groupBy(group).agg(F.max(n).alias("n"), F.max("total").alias("total"), F.collect_list(F.struct("df", "tokens", "asked")).alias("all"))
+    idf = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
+    rows = F.transform("all", lambda x: F.struct(x["tokens"].alias("tokens"), x["asked"].alias("asked"), idf(x["df"]).alias("idf")))
+    whole = whole.select(group, (F.col("total") / F.col("n")).alias("avgdl"), rows.alias("all"))
+    total = lambda value: F.aggregate("all", F.lit(0.0), lambda s, x: s + value(x))
+    # a group has items, and an item has a token
+    mean = total(lambda x: F.when(x["tokens"] > 0, x["tokens"] * x["idf"]).otherwise(0.0)) / total(lambda x: x["tokens"].cast("double"))
+    each = whole.select(group, "avgdl", mean.alias("mean_idf"), F.explode("all").alias("x")).select(group, "avgdl", "mean_idf", F.col("x.idf").alias("idf"), F.explode("x.asked").alias("w"))
+    return each.select(group, F.col("w.token").alias("token"), "avgdl", (F.col("w.qtf") * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).alias("weight"))
+
+
 def sent_along(entries: DataFrame) -> DataFrame:
     """A knowledge base as the broadcast side of a join, once it is known to be no larger than one should be."""
     n = entries.limit(MOST_ENTRIES + 1).count()

@@ -60,3 +60,30 @@ def test_answers_are_dealt_by_their_number(spark):
     known = VO.vocabulary(spark.createDataFrame([(0, "blue", "a", ["blue"])], "ord int, id string, eixo string, formas array<string>"))
     assert "RepartitionByExpression" in plan(VO.methods_of_answers(answers, known, ["blue"], ["run", "doc"], n=3))
     assert "RepartitionByExpression" in plan(Q.QUERIES["check_answers"](spark, "/root/testdata/sf0.001"))
+
+
+def scans(df, column):
+    """Scans of files for a column in the plan that was carried out."""
+    df.collect()
+    done = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and f"{column}#" in line.split("]")[0] for line in done.splitlines())
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_texts_are_read_for_counts_and_for_scores_alone(spark, tmp_path, name):
+    rows = [(i, "ab"[i % 2], f"alpha beta w{'xyz'[i % 3] * 3} delta{'q' * (i % 4)}", 20 + i % 5) for i in range(40)] + [(40, None, "alpha", 3), (41, "a", None, None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "alpha deltaqq deltaqq wxxx")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert scans(Q.QUERIES[name](spark, str(tmp_path)), "text") == 3  # the third is the benchmark's
+
+
+def test_sent_along_weights_are_the_same(spark):
+    items = spark.createDataFrame([(g, i, ["t" + str(j) for j in range(i % 5)] * 2) for g in "ab" for i in range(12)] + [(None, 1, ["t1"])], "g string, i int, tokens array<string>")
+    query = spark.createDataFrame([("t1",), ("t1",), ("t3",), ("_",), ("none",)], "token string")
+    a, b = (sorted(map(tuple, R.bm25(items, query, "g", "i", groups).collect()), key=str) for groups in (None, 3))
+    assert a == b and len(a) == 25
+
+
+@pytest.mark.parametrize("name", ["expression_hits", "bm25_topk", "missing_extra", "normalize_text"])
+def test_texts_do_not_go_to_python(spark, name):
+    assert "ArrowEvalPython" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
