@@ -122,15 +122,14 @@ def fused_best(first: DataFrame, second: DataFrame, group: str, position: str, n
     """
     depth = k + 2 * n
     at = F.struct((-F.col("score")).alias("s"), F.col(position).alias("p"))
-    before = F.size(F.filter("__edges", lambda e: e < at))
-    # one filter for all uses of a list, so that its shuffled form is made once
-    lists = [rows.select(group, position, "score").dropna() for rows in (first, second)]
+    # one filter for all uses of a list, so that its shuffled form is made once; joins would add the first two to some of them
+    lists = [rows.select(group, position, "score").where(" AND ".join(f"`{c}` IS NOT NULL" for c in (group, position, "score"))).where(~F.isnan("score")) for rows in (first, second)]
     heads = [top(rows, group, "score", position, depth).select(group, position) for rows in lists]
     placed = chosen = heads[0].unionByName(heads[1]).distinct()
     score = F.lit(0.0)
     for name, listed in zip(("__a", "__b"), lists, strict=True):
         edges = listed.join(chosen, [group, position]).groupBy(group).agg(F.array_sort(F.collect_list(at)).alias("__edges"))
-        fallen = listed.join(edges, group).select(group, before.alias("__at"))
+        fallen = listed.select(group, at.alias("__item")).join(edges, group).select(group, edges_before("__edges", "__item", 2 * depth).alias("__at"))
         counts = fallen.groupBy(group, "__at").agg(F.count(F.lit(1)).alias("__n"))
         reached = counts.select(group, "__at", F.sum("__n").over(Window.partitionBy(group).orderBy("__at")).alias(name))
         named = edges.select(group, F.posexplode("__edges").alias("__at", "e")).select(group, "__at", F.col("e.p").alias(position))
@@ -139,6 +138,13 @@ def fused_best(first: DataFrame, second: DataFrame, group: str, position: str, n
     return top(placed.select(group, position, score.alias("score")), group, "score", position, n)
 
 
+def edges_before(edges: str, item: str, most: int) -> Column:
+    """How many of the sorted ``edges`` (``most`` of them at most) come before ``item``, found by halves."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(most.bit_length()))))
+    # beyond the end an edge is null, and not before anything
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(F.col(edges), low + step - 1) < F.col(item), low + step).otherwise(low))
+
+
 def bm25(items: DataFrame, query: DataFrame, group: str, item: str, groups: int | None = None) -> DataFrame:
     """BM25-Okapi: ``group, item, score`` of every item.
 

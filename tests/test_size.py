@@ -69,7 +69,7 @@ def scans(df, column):
     return sum("FileScan" in line and f"{column}#" in line.split("]")[0] for line in done.splitlines())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion"])
 def test_texts_are_read_for_counts_and_for_scores_alone(spark, tmp_path, name):
     rows = [(i, "ab"[i % 2], f"alpha beta w{'xyz'[i % 3] * 3} delta{'q' * (i % 4)}", 20 + i % 5) for i in range(40)] + [(40, None, "alpha", 3), (41, "a", None, None)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
@@ -84,6 +84,13 @@ def test_sent_along_weights_are_the_same(spark):
     assert a == b and len(a) == 25
 
 
+def test_edges_before_counts_smaller_edges(spark):
+    rows = [(x, [float(e) for e in range(n)]) for n in range(0, 13, 3) for x in (-1.0, 0.0, 0.5, 2.0, 5.5, 11.0, 99.0)]
+    df = spark.createDataFrame(rows, "x double, edges array<double>")
+    for r in df.select("x", "edges", R.edges_before("edges", "x", 12).alias("n")).collect():
+        assert r["n"] == sum(e < r["x"] for e in r["edges"])
+
+
 @pytest.mark.parametrize("name", ["expression_hits", "bm25_topk", "missing_extra", "normalize_text"])
 def test_texts_do_not_go_to_python(spark, name):
     assert "ArrowEvalPython" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
