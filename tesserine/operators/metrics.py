@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -70,6 +71,43 @@ def scoreboard_by_axis(predicted: DataFrame, reference: DataFrame, by: list[str]
     return scoreboard(said, known.join(keys, [*by, axis], "left_semi"), keys, [*by, axis], term)
 
 
+def set_counts(said: str = "said", mandatory: str = "mandatory", known: str = "known") -> dict[str, Column]:
+    """The counts of ``scored`` from sets in one row; ``known`` has the mandatory and the acceptable terms."""
+    met = lambda c: F.size(F.array_intersect(said, c)).cast("long")
+    return {"predicted": F.size(said).cast("long"), "expected": F.size(mandatory).cast("long"), "hits_p": met(known), "hits_r": met(mandatory)}
+
+
+def scoreboard_of_sets(sets: DataFrame, by: list[str]) -> DataFrame:
+    """``scoreboard`` where a row has all of its key's terms (arrays ``said, mandatory, known``): no term leaves its row."""
+    return scored(sets.select(*by, *(c.alias(n) for n, c in set_counts().items())), by)
+
+
+def scoreboard_of_sets_by_axis(sets: DataFrame, by: list[str], axis_of: Callable[[Column], Column], axis: str = "axis") -> DataFrame:
+    """``scoreboard_by_axis`` of such rows; a term's axis is found by the term, and counts instead of terms are shuffled."""
+    terms = {"predicted": F.col("said"), "expected": F.col("mandatory"), "hits_p": F.array_intersect("said", "known"), "hits_r": F.array_intersect("said", "mandatory")}
+
+    def marked(terms: Column, i: int) -> Column:
+        return F.transform(terms, lambda x: F.struct(axis_of(x).alias("a"), F.lit(i).alias("i")))
+
+    each = [marked(t, i) for i, t in enumerate(terms.values())]
+    rows = sets.select(*by, F.explode(F.concat(*each)).alias("x")).select(*by, F.col("x.a").alias(axis), F.col("x.i").alias("__i")).where(F.col(axis).isNotNull())
+    return scored(rows.groupBy(*by, axis).agg(*(F.count(F.when(F.col("__i") == i, 1)).alias(n) for i, n in enumerate(terms))), [*by, axis])
+
+
+def missing_and_extra_of_sets(sets: DataFrame, by: list[str]) -> DataFrame:
+    """``missing_and_extra`` of such rows; a row without any term gives none."""
+    rows = sets.where((F.size("said") > 0) | (F.size("known") > 0))
+    return rows.select(*by, F.sort_array(F.array_except("mandatory", "said")).alias("missing"), F.sort_array(F.array_except("said", "known")).alias("extra"))
+
+
+def macro_and_micro(board: DataFrame, by: list[str]) -> DataFrame:
+    """``macro`` and ``micro`` in one grouping, so that the board is made once."""
+    sums = ("hits_p", "predicted", "hits_r", "expected")
+    rows = board.groupBy(*by).agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+    rows = rows.withColumns({"micro_precision": ratio(F.col("hits_p"), F.col("predicted")), "micro_recall": ratio(F.col("hits_r"), F.col("expected"))}).drop(*sums)
+    return rows.withColumn("micro_f1", f1(F.col("micro_precision"), F.col("micro_recall")))
+
+
 def macro(board: DataFrame, by: list[str]) -> DataFrame:
     return board.groupBy(*by).agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("n"))
 

@@ -94,3 +94,48 @@ def test_edges_before_counts_smaller_edges(spark):
 @pytest.mark.parametrize("name", ["expression_hits", "bm25_topk", "missing_extra", "normalize_text"])
 def test_texts_do_not_go_to_python(spark, name):
     assert "ArrowEvalPython" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def shuffled(df):
+    """Rows that the plan that was carried out wrote for its shuffles."""
+    df.collect()
+    found, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+        nodes += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    return found
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Documents whose keys come again, without a text, without an id or a language, with ids below zero."""
+    rows = [(i, "xy"[i % 2], f"alpha nuance beta{'z' * (i % 3)} omega {'delta ' * i}") for i in range(25)]
+    rows += [(3, "y", "gamma alpha"), (3, "y", None), (4, "x", ""), (None, "x", "alpha"), (None, "x", "zeta"), (-3, "y", "nuance"), (60, "x", None), (61, None, "omega")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(i, f"alpha zeta nuance {'beta omega' if i % 2 else 'gamma'}") for i in range(-3, 15)] + [(5, "kappa omega"), (40, "alpha"), (None, "alpha"), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["prf_by_group"])
+def test_scores_of_odd_documents_are_those_of_sql(spark, odd, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{odd}/{t}.parquet/*.parquet'")
+    show = lambda rows: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert show(map(tuple, Q.QUERIES[name](spark, odd).collect())) == show(con.execute(Q.SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["prf_by_group", "prf_macro_micro"])
+def test_terms_do_not_leave_their_document(spark, tmp_path, name):
+    words = ["ab" + x + y for x in "cdefgh" for y in "cdefgh"]
+    spark.createDataFrame([(i, "x", " ".join(words)) for i in range(30)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "abcc abdd other") for i in range(20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert shuffled(Q.QUERIES[name](spark, str(tmp_path))) < 30 * len(words) / 4
