@@ -122,7 +122,7 @@ def odd(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["prf_by_group"])
+@pytest.mark.parametrize("name", ["prf_by_group", "missing_extra"])
 def test_scores_of_odd_documents_are_those_of_sql(spark, odd, name):
     import duckdb
 
@@ -133,7 +133,7 @@ def test_scores_of_odd_documents_are_those_of_sql(spark, odd, name):
     assert show(map(tuple, Q.QUERIES[name](spark, odd).collect())) == show(con.execute(Q.SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["prf_by_group", "prf_macro_micro"])
+@pytest.mark.parametrize("name", ["prf_by_group", "missing_extra", "prf_macro_micro"])
 def test_terms_do_not_leave_their_document(spark, tmp_path, name):
     words = ["ab" + x + y for x in "cdefgh" for y in "cdefgh"]
     spark.createDataFrame([(i, "x", " ".join(words)) for i in range(30)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
