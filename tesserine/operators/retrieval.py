@@ -10,12 +10,12 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.functions.batches import joined, parts
 from tesserine.operators import blocks as BL
 
 # Fixed values
@@ -29,6 +29,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_ENTRIES = 10_000
 #: Weights of a query's tokens in all groups at most that are sent along.
 MOST_WEIGHTS = 200_000
+#: Words whose directions the encoder of hashed words keeps at a time.
+KEPT_WORDS = 8_192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,11 +42,16 @@ def hashed_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a sentence encoder: hashed words on random directions, length 1, float32."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), np.float32)
+        out, known = np.zeros((len(texts), size), np.float32), {}
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                seed = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                out[i] += np.random.default_rng(int.from_bytes(seed, "little")).normal(size=size).astype(np.float32)
+                direction = known.get(word)
+                if direction is None:
+                    seed = hashlib.blake2b(word.encode(), digest_size=8).digest()
+                    direction = np.random.default_rng(int.from_bytes(seed, "little")).normal(size=size).astype(np.float32)
+                    if len(known) < KEPT_WORDS:
+                        known[word] = direction
+                out[i] += direction
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
@@ -55,13 +62,25 @@ def embedded(text: Column, kind: str, encoder: Callable[[list[str]], np.ndarray]
     """Vectors of texts, with the prefix the encoder was trained with: ``query`` or ``passage``."""
     make = encoder or hashed_encoder()
 
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(make([f"{kind}: {t or ''}" for t in texts])), dtype=object)
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return vectors_of(texts, kind, make)
 
     return vectors(text)
 
 
+def vectors_of(texts: pa.Array, kind: str, make: Callable[[list[str]], np.ndarray]) -> pa.Array:
+    """``embedded`` of an array of texts; the encoder gets a part of them at a time."""
+    return joined([listed(make([f"{kind}: {t or ''}" for t in part])) for part in parts(texts)], pa.list_(pa.float32()))
+
+
+def listed(vectors: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists of floats."""
+    vectors = np.asarray(vectors, np.float32)
+    ends = np.arange(len(vectors) + 1) * vectors.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(vectors.reshape(-1)))
+
+
 def top(rows: DataFrame, group: str | list[str], score: str, position: str, k: int) -> DataFrame:
     """The ``k`` best of each group with their ``rank``; ties go to the smaller position."""
     groups = [group] if isinstance(group, str) else group
@@ -264,6 +283,9 @@ def contexts(
         whole = packed(without_retrieval(sentences, key), key, "frases_tematicas")
         return whole.select(key, F.lit(technique).alias("tecnica"), "frases_tematicas", F.col("frases_tematicas").alias("frases_metodologia"), F.array().cast("array<string>").alias("verbetes"))
     make = encoder or hashed_encoder()
+    # dealt anew, by all that is read of them, so that they are made once for all their uses, and no task holds one process to make
+    # them and another one to embed them; those of no document meet no title
+    sentences = sentences.where(F.col(key).isNotNull()).repartition(key, "pos", "frase_id", "texto")
     if "vector" not in sentences.columns:
         sentences = sentences.withColumn("vector", embedded(F.col("texto"), "passage", make))
     if "vector" not in entries.columns:
@@ -280,6 +302,9 @@ def contexts(
         scored = scored.withColumns({f"{name}_score": fused_in_place(f"{name}_score", f"{name}_words", key, "pos") for name in ("theme", "method")})
     place = lambda c: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(c), F.asc("pos")))
     chosen = scored.withColumns({"theme_rank": place("theme_score"), "method_rank": place("method_score")}).where((F.col("theme_rank") <= k) | (F.col("method_rank") <= k))
+    # a document's chosen sentences as one row, whole, so that all their uses have one plan and vectors are made once
+    whole = F.struct("theme_rank", "method_rank", "theme_score", "method_score", "frase_id", "texto", "vector")
+    chosen = chosen.groupBy(key).agg(F.collect_list(whole).alias("__chosen")).select(key, F.explode("__chosen").alias("__c")).select(key, "__c.*")
     methods = chosen.where(F.col("method_rank") <= k).withColumnRenamed("method_rank", "rank")
     near = entry_similarity(methods, entries, key)
     if technique == "hibrido":

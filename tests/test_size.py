@@ -1,10 +1,13 @@
 """Steps whose cost must not grow faster than their input: what they give, and how they are planned."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesserine import queries as Q
+from tesserine.functions import batches as BA
+from tesserine.functions import sentences as S
 from tesserine.operators import blocks as BL
 from tesserine.operators import metrics as M
 from tesserine.operators import retrieval as R
@@ -139,3 +142,53 @@ def test_terms_do_not_leave_their_document(spark, tmp_path, name):
     spark.createDataFrame([(i, "x", " ".join(words)) for i in range(30)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, "abcc abdd other") for i in range(20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert shuffled(Q.QUERIES[name](spark, str(tmp_path))) < 30 * len(words) / 4
+
+
+def python_steps(df):
+    """The Python steps of the plan that was carried out, and for each how many others hold a process in the same stage."""
+    df.collect()
+    found, nodes = [], [(df._jdf.queryExecution().executedPlan(), [])]
+    while nodes:
+        node, above = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ArrowEvalPythonExec":
+            found.append(above)
+            above = [*above, node.udfs().apply(0).name()]
+        if "Exchange" in kind:
+            above = []
+        below = node.children()
+        nodes += [(below.apply(i), above) for i in range(below.size())] if kind != "ReusedExchangeExec" else []
+        nodes += [(node.executedPlan(), above)] if kind == "AdaptiveSparkPlanExec" else [(node.plan(), above)] if kind.endswith("QueryStageExec") else []
+    return found
+
+
+def test_contexts_make_sentences_and_vectors_once(spark):
+    # sentences, their vectors, those of the titles and those of the base
+    steps = python_steps(Q.QUERIES["hybrid_contexts"](spark, "/root/testdata/sf0.001"))
+    assert steps == [[]] * 4
+
+
+@pytest.mark.parametrize("name", ["hybrid_contexts"])
+def test_own_rows_need_no_python(spark, name):
+    assert "LogicalRDD" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_texts_are_python_strings_a_part_at_a_time(monkeypatch):
+    texts = [None, "", "é" * 100, "a. B" * 30, "x", None, "long " * 100, "y"]
+    array = pa.array(["skipped", *texts]).slice(1)
+    for limit in (1, 200, 300, 1_000, 1 << 20):
+        got = list(BA.parts(array, limit))
+        assert [t for part in got for t in part] == texts
+        assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= limit for part in got)
+    assert len(list(BA.parts(array, 1))) == len(texts) and list(BA.parts(pa.array([], pa.string()))) == []
+    seen = []
+
+    def encode(part):
+        seen.append(len(part))
+        return np.array([[len(t), i] for i, t in enumerate(part)], "float32").reshape(-1, 2)
+
+    # the functions that run in the workers give each text its own row, whatever the parts
+    monkeypatch.setattr(BA.parts, "__defaults__", (300,))
+    assert R.vectors_of(array, "passage", encode).to_pylist() == [[len(f"passage: {t or ''}"), i] for part in BA.parts(array) for i, t in enumerate(part)]
+    assert seen == [len(part) for part in BA.parts(array)] and len(seen) > 2
+    assert S.found(array).to_pylist() == [S.split(t) for t in texts]
