@@ -200,7 +200,7 @@ def theme_hits_of(own: DataFrame, references: DataFrame, by: str) -> DataFrame:
 def status_counts(fields: DataFrame, by: list[str], status: str = "status", statuses=STATUSES) -> DataFrame:
     """``by..., status, n``: a row for every status, those not seen with 0."""
     spark = fields.sparkSession
-    listed = spark.createDataFrame([(s,) for s in statuses], f"{status} string")
+    listed = spark.createDataFrame(pa.table({status: pa.array(statuses, pa.string())}))
     seen = fields.select(*by, F.coalesce(status, F.lit(OK)).alias(status)).groupBy(*by, status).agg(F.count(F.lit(1)).alias("n"))
     every = fields.select(*by).distinct().join(F.broadcast(listed), F.lit(True)) if by else listed  # as many rows as statuses
     return every.join(seen, [*by, status], "full").select(*by, status, F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -168,7 +168,7 @@ def test_contexts_make_sentences_and_vectors_once(spark):
     assert steps == [[]] * 4
 
 
-@pytest.mark.parametrize("name", ["hybrid_contexts"])
+@pytest.mark.parametrize("name", ["expression_hits", "hybrid_contexts", "link_terms", "run_scores", "status_counts"])
 def test_own_rows_need_no_python(spark, name):
     assert "LogicalRDD" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
